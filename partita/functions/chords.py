@@ -6,7 +6,7 @@ quality is ``maj`` if left out. Everything stays JVM-side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Pitch class of a root letter is its position in this string, counted from 0.
@@ -54,3 +54,29 @@ def chord_quality(canonical: Column) -> Column:
 def chord_root(canonical: Column) -> Column:
     """Pitch class 0-11 of a canonical chord; null for N, X and labels outside the grammar."""
     return F.when(F.instr(canonical, ":") > 0, F.substring_index(canonical, ":", 1).try_cast("int"))
+
+
+def with_canonical_chord(df: DataFrame, label: str, out: str) -> DataFrame:
+    """Add canonical_chord() of a column in steps, so that each shared piece is worked out once per row.
+
+    Catalyst keeps projections apart where merging them would repeat a costly expression.
+    """
+    c = F.col
+    df = df.withColumn("__t", _plain(c(label)))
+    df = df.withColumn("__core", F.substring_index(F.substring_index(c("__t"), "/", 1), "(", 1))
+    df = df.withColumns({"__root": F.trim(F.substring_index(c("__core"), ":", 1)), "__colon": F.instr(c("__core"), ":")})
+    df = df.withColumns({"__pc": F.instr(F.lit(LETTER_POSITIONS), F.substring(c("__root"), 1, 1)) - 1, "__rest": F.substring(c("__root"), 2, 1000)})
+    df = df.withColumns({"__sharps": F.length(F.translate(c("__rest"), "b", "")), "__len": F.length(c("__rest")), "__none": F.length(F.translate(c("__rest"), "#b", ""))})
+    quality = F.when(c("__colon") > 0, F.trim(F.substring_index(c("__core"), ":", -1))).otherwise(F.lit("maj"))
+    df = df.withColumn("__quality", quality)
+    letter = F.substring(c("__root"), 1, 1)
+    known = (c("__pc") >= 0) & (c("__none") == 0) & (c("__root") != "") & (letter != " ")
+    # sharps minus flats: what is left without b, minus the rest of the length
+    chord = (
+        F.when(c("__t").isNull(), F.lit(None).cast("string"))
+        .when(c("__t").isin(*NO_CHORD), F.lit("N"))
+        .when(c("__t").isin(*SKIP), F.lit("X"))
+        .when(known, F.concat(F.pmod(c("__pc") + 2 * c("__sharps") - c("__len"), F.lit(12)).cast("string"), F.lit(":"), F.when(c("__quality") == "", F.lit("maj")).otherwise(c("__quality"))))
+        .otherwise(F.concat(F.lit("?"), c("__t")))
+    )
+    return df.withColumn(out, chord).drop("__t", "__core", "__root", "__colon", "__pc", "__rest", "__sharps", "__len", "__none", "__quality")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.operators.ranking import null_safe_join
@@ -97,17 +97,18 @@ def _chunk_states(chunk_rows: int):
     return run
 
 
-def chunk_states(rows: DataFrame, key: str, frame: str, value: Column, newest: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def chunk_states(rows: DataFrame, key: str, frame: str, raw: str, newest: str, derive: Callable[[DataFrame, str, str], DataFrame], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One state for each chunk of equal size of a key, with the exact row number its first row has in the key.
 
     Rows are range-partitioned by (key, frame), so a large key spreads over partitions and all rows
     of one (key, frame) stay together. The rows of each key are counted per partition; the prefix sum
     of these counts is the offset of the partition's first row of the key.
     """
-    slim = rows.select(F.col(key).alias("key"), F.col(frame).alias("frame"), value.alias("value"), F.col(newest).alias("newest"))
+    slim = rows.select(F.col(key).alias("key"), F.col(frame).alias("frame"), F.col(raw).alias("raw"), F.col(newest).alias("newest"))
     n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = slim.repartitionByRange(n, "key", "frame").sortWithinPartitions("key", "frame", F.desc("newest"))
-    states = ranged.select("key", "frame", "value", F.spark_partition_id().alias("pid")).mapInArrow(_chunk_states(chunk_rows), _STATE)
+    # values are derived after the exchange: before it, the pass that samples range bounds would derive them too
+    states = derive(ranged, "raw", "value").select("key", "frame", "value", F.spark_partition_id().alias("pid")).mapInArrow(_chunk_states(chunk_rows), _STATE)
     states = cut_lineage(states)
     per = states.groupBy("key", "pid").agg(F.sum("n_rows").alias("n"))
     w = Window.partitionBy("key").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,16 +118,19 @@ def chunk_states(rows: DataFrame, key: str, frame: str, value: Column, newest: s
     return null_safe_join(numbered, offsets, ["key", "pid"]).withColumn("first_row", F.col("offset") + F.col("before")).drop("offset", "before")
 
 
-def key_summary(rows: DataFrame, key: str, frame: str, value: Column, newest: str, hot_share: float = 0.02, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def key_summary(
+    rows: DataFrame, key: str, frame: str, raw: str, newest: str, derive: Callable[[DataFrame, str, str], DataFrame], hot_share: float = 0.02, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """(key, n_rows, n_frames, top_value, n_top, n_changes, is_hot) for every key.
 
+    ``derive(df, column, new_column)`` adds the value that is counted to the rows.
     n_rows counts all rows, repeats included; n_frames distinct frames; of repeats of a frame the
     newest holds. top_value is the most frequent non-null value (ties: the smallest), n_changes how
     often the value differs from the one before, is_hot whether the key holds at least ``hot_share``
     of all rows. A key with null values only has a null top_value; a null key is a key. Chunk states
     are merged in the order of their first row; boundary states join across chunks and partitions.
     """
-    states = chunk_states(rows, key, frame, value, newest, chunk_rows)
+    states = chunk_states(rows, key, frame, raw, newest, derive, chunk_rows)
     w = Window.partitionBy("key").orderBy("first_row")
     before = F.last("last_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     seam = F.when(F.col("first_value").isNotNull() & before.isNotNull() & (before != F.col("first_value")), 1).otherwise(0)

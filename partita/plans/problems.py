@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.functions.chords import canonical_chord
+from partita.functions.chords import with_canonical_chord
 from partita.operators.balanced import key_summary
 from partita.operators.coverage import interval_rows, periods_and_gaps
 from partita.plans.sqltext import CHORD_SQL
@@ -31,7 +31,7 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_key_summary(spark: SparkSession, d: str) -> DataFrame:
     """Frames, rows, most frequent chord and chord changes of every key of chord_frames; which keys are hot."""
-    return key_summary(table(spark, d, "chord_frames"), "key", "frame", canonical_chord(F.col("chord_labels")), "ingested_at")
+    return key_summary(table(spark, d, "chord_frames"), "key", "frame", "chord_labels", "ingested_at", with_canonical_chord)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
