@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.functions.chords import canonical_chord, chord_quality
+from partita.functions.chords import canonical_chord, chord_quality, with_canonical_chord
 from partita.llm.groups import assign_splits, connected_groups, latest_rows, related_links
+from partita.llm.overlap import cross_split_cases
 from partita.llm.runs import collapse_runs
 from partita.llm.sampling import stratified_sample, target_report
 from partita.operators.ranking import null_safe_join
 from partita.plans.sqltext import CHORD_SQL, chord_sql
 from partita.session import cut_lineage, table
 
+#: Problem 2: splits and their shares of the keys.
 SPLITS, SHARES = ["train", "valid", "test"], [0.6, 0.2, 0.2]
 
 
+def p1_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every overlap of a held-out record with its fold's train split, with kind and overlap fraction."""
+    e = latest_rows(table(spark, d, "chord_entities"), "key", "ingested_at", F.col("cqt"))
+    return cross_split_cases(e, table(spark, d, "split_keys"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a fold that are the same key or the same recording on both sides of the split."""
+    return p1_cases(spark, d).select("fold", "key_a", "key_b").distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Number of pairs per fold, held-out split, subset and kind."""
+    return p1_cases(spark, d).groupBy("fold", "split", "subset", "kind").agg(F.count_distinct("key_a", "key_b").alias("n_pairs"))
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     chords = F.transform(F.col("chord_labels"), canonical_chord).alias("chords")
     return cut_lineage(latest_rows(table(spark, d, "chord_entities"), "key", "ingested_at", chords))
@@ -63,7 +81,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_events(spark: SparkSession, d: str) -> DataFrame:
     """Every run of every key: chord, first frame, number of frames, duration in seconds by time_point."""
-    r = collapse_runs(table(spark, d, "chord_frames"), "key", "frame", canonical_chord(F.col("chord_labels")), "ingested_at", "time_point")
+    rows = with_canonical_chord(table(spark, d, "chord_frames"), "chord_labels", "chord")
+    r = collapse_runs(rows, "key", "frame", "chord", "ingested_at", "time_point")
     return r.select("key", F.col("value").alias("chord"), F.col("first_pos").alias("first_frame"), F.col("n").cast("int").alias("n_frames"), F.round(F.col("end_time") - F.col("start_time"), 6).alias("duration"))
 
 
@@ -72,7 +91,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_events(spark, d).where("n_frames >= 2").select("key", "first_frame", "n_frames")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events)}
 
 _P4 = f"""
 WITH e AS (SELECT key, arg_max(coalesce(chord_labels, []), ingested_at) AS l FROM chord_entities GROUP BY key),

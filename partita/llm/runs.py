@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions of an entity that are handled together; a block holds at most so many distinct positions.
 BLOCK = 8192
 
 
-def collapse_runs(rows: DataFrame, key: str, pos: str, value: Column, newest: str, time: str | None = None, block: int = BLOCK) -> DataFrame:
+def collapse_runs(rows: DataFrame, key: str, pos: str, value: str, newest: str, time: str | None = None, block: int = BLOCK) -> DataFrame:
     """One row per maximal run of equal values: (key, value, first_pos, last_pos, n, start_time, end_time).
 
     Of several rows of one (key, pos) the newest holds; then null values are dropped (they and
@@ -24,7 +24,7 @@ def collapse_runs(rows: DataFrame, key: str, pos: str, value: Column, newest: st
     """
     t = F.col(time).cast("double") if time else F.lit(None).cast("double")
     blocks = rows.select(
-        F.col(key).alias("key"), F.floor(F.col(pos) / block).cast("bigint").alias("block"), F.col(pos).alias("pos"), value.alias("value"), t.alias("t"), F.col(newest).alias("newest")
+        F.col(key).alias("key"), F.floor(F.col(pos) / block).cast("bigint").alias("block"), F.col(pos).alias("pos"), F.col(value).alias("value"), t.alias("t"), F.col(newest).alias("newest")
     ).where(F.col("pos").isNotNull())
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks.repartition(n, "key", "block")
