@@ -38,14 +38,13 @@ def collapse_runs(rows: DataFrame, key: str, pos: str, value: str, newest: str,
     )
     in_block = Window.partitionBy("key", "block")
     runs = runs.withColumn("is_edge", (F.col("first_rn") == 1) | (F.col("last_rn") == F.max("last_rn").over(in_block)))
-    columns = ["key", "value", "first_pos", "last_pos", "n", "start_time", "end_time"]
-    inner = runs.where(~F.col("is_edge")).select(*columns)
-    # the last edge run of a block and the first of the next block are neighbours; two edge runs of one block never join
-    edges = runs.where("is_edge")
-    w = Window.partitionBy("key").orderBy("first_pos")
-    starts = F.when((F.lag("block").over(w) == F.col("block")) | F.lag("value").over(w).isNull() | (F.lag("value").over(w) != F.col("value")), 1).otherwise(0)
-    joined = edges.withColumn("start", starts).withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = joined.groupBy("key", "run").agg(
+    # a run inside its block is whole; edge runs of a key share one group, in which the last of a block and the
+    # first of the next are neighbours (two edge runs of one block never join)
+    runs = runs.withColumn("group", F.when(F.col("is_edge"), F.lit(-1).cast("bigint")).otherwise(F.col("block") * 2))
+    w = Window.partitionBy("key", "group").orderBy("first_pos")
+    starts = F.when(~F.col("is_edge") | (F.lag("block").over(w) == F.col("block")) | F.lag("value").over(w).isNull() | (F.lag("value").over(w) != F.col("value")), 1).otherwise(0)
+    joined = runs.withColumn("start", starts).withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = joined.groupBy("key", "group", "run").agg(
         F.first("value").alias("value"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("n"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")
     )
-    return inner.unionByName(merged.select(*columns))
+    return merged.select("key", "value", "first_pos", "last_pos", "n", "start_time", "end_time")
