@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from partita.functions.chords import canonical_chord, chord_quality, with_canonical_chord
 from partita.llm.groups import assign_splits, connected_groups, latest_rows, related_links
+from partita.llm.leaks import leaked_passages
+from partita.llm.mixing import mix
 from partita.llm.overlap import cross_split_cases
 from partita.llm.runs import collapse_runs
 from partita.llm.sampling import stratified_sample, target_report
@@ -91,7 +93,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_events(spark, d).where("n_frames >= 2").select("key", "first_frame", "n_frames")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events)}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the items it leaks, the edits of the best passage and the longest exact run."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with an exact passage of at least twelve words."""
+    return p7_leaks(spark, d).where("edits = 0").select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each leaked item is in."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("edits") == 0).alias("n_exact"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Quota, available and drawn tokens and actual share of each source."""
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"))[1]
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The selected texts and how often each is used."""
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"))[0]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that cannot reach their share."""
+    return p8_report(spark, d).where("short").select("source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events, p7_found, p7_leaks, p7_items, p8_found, p8_report, p8_mixture)}
 
 _P4 = f"""
 WITH e AS (SELECT key, arg_max(coalesce(chord_labels, []), ingested_at) AS l FROM chord_entities GROUP BY key),
