@@ -12,7 +12,7 @@ from partita.llm.mixing import mix
 from partita.llm.overlap import cross_split_cases
 from partita.llm.runs import collapse_runs
 from partita.llm.sampling import stratified_sample, target_report
-from partita.operators.ranking import null_safe_join
+from partita.llm.spam import spam_pages
 from partita.plans.sqltext import CHORD_SQL, chord_sql
 from partita.session import cut_lineage, table
 
@@ -123,7 +123,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).where("short").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events, p7_found, p7_leaks, p7_items, p8_found, p8_report, p8_mixture)}
+def p9_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences, coverage and verdict of every page."""
+    return spam_pages(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spam pages."""
+    return p9_pages(spark, d).where("is_spam").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events, p7_found, p7_leaks, p7_items, p8_found, p8_report, p8_mixture, p9_found, p9_pages)}
 
 _P4 = f"""
 WITH e AS (SELECT key, arg_max(coalesce(chord_labels, []), ingested_at) AS l FROM chord_entities GROUP BY key),
