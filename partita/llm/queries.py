@@ -63,7 +63,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """(key, frame, quality) of every frame with a label."""
     e = latest_rows(table(spark, d, "chord_entities"), "key", "ingested_at", F.col("chord_labels"))
     frames = e.select("key", F.posexplode("chord_labels").alias("frame", "label")).where("label is not null")
-    return frames.select("key", "frame", chord_quality(canonical_chord(F.col("label"))).alias("quality"))
+    return with_canonical_chord(frames, "label", "chord").select("key", "frame", chord_quality(F.col("chord")).alias("quality"))
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
