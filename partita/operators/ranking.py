@@ -53,3 +53,20 @@ def global_rank(
         .withColumn(out, (F.col("__in") + F.col("__off")).cast("bigint"))
         .drop("__in", "__off", BUCKET)
     )
+
+
+def carry_last(df: DataFrame, by: list[str], bucket: str, order: list[Column | str], value: str, out: str) -> DataFrame:
+    """Adds the last non-null ``value`` at or before each row of its group, in the order (bucket, order).
+
+    Inside a bucket by a window; across buckets only one value per bucket is carried, so a group of
+    any size is spread over its buckets.
+    """
+    w = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = df.withColumn("__in", F.last(value, ignorenulls=True).over(w))
+    rank = F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order))
+    ends = df.where(F.col(value).isNotNull()).withColumn("__r", rank).groupBy(*by, bucket).agg(F.max_by(value, "__r").alias("__last"))
+    every = df.select(*by, bucket).distinct()
+    ends = null_safe_join(every, ends, [*by, bucket], "left")
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, bucket, F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    return null_safe_join(inside, carried, [*by, bucket]).withColumn(out, F.coalesce("__in", "__carried")).drop("__in", "__carried")
