@@ -80,7 +80,7 @@ def stratified_sample(rows: DataFrame, category: str, ids: list[str], targets: D
     rows = cut_lineage(rows)
     report = target_report(rows, category, targets, fraction, **names)
     name = names.get("name", "quality")
-    quota = F.broadcast(report.select(F.col(name).alias("__q"), "quota"))
+    quota = F.broadcast(report.select(F.col(name).alias("__q"), F.col("quota").alias("__quota")))
     keyed = rows.join(quota, F.col(category) == F.col("__q")).withColumn("__h", hash_order(*[F.col(c) for c in ids], seed=seed))
     ranked = global_rank(keyed, [category], "__h", ids, "__rank")
-    return ranked.where(F.col("__rank") <= F.col("quota")).drop("__q", "quota", "__h", "__rank"), report
+    return ranked.where(F.col("__rank") <= F.col("__quota")).drop("__q", "__quota", "__h", "__rank"), report
