@@ -29,7 +29,7 @@ def file_base(path: Column) -> Column:
 def file_ext(path: Column) -> Column:
     """Last extension with its dot, or empty."""
     name = file_name(path)
-    return F.when(F.instr(name, ".") > 1, F.regexp_extract(name, r"(\.[^.]*)$", 1)).otherwise(F.lit(""))
+    return F.when(F.instr(name, ".") > 1, F.regexp_extract(name, r"(\.[^.]*)$", 1)).when(name.isNotNull(), F.lit(""))
 
 
 def map_path(path: Column, out_dir: str, ext: str) -> Column:
