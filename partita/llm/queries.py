@@ -11,7 +11,7 @@ from partita.llm.leaks import leaked_passages
 from partita.llm.mixing import mix
 from partita.llm.overlap import cross_split_cases
 from partita.llm.runs import collapse_runs
-from partita.llm.sampling import stratified_sample, target_report
+from partita.llm.sampling import stratified_sample
 from partita.llm.spam import spam_pages
 from partita.plans.sqltext import CHORD_SQL, chord_sql
 from partita.session import cut_lineage, table
@@ -73,11 +73,11 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """What exists, is wanted and is drawn of each quality."""
-    return target_report(_labelled(spark, d), "quality", table(spark, d, "quality_targets"), 0.25)
+    return stratified_sample(_labelled(spark, d), "quality", ["key", "frame"], table(spark, d, "quality_targets"), 0.25)[1]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Qualities whose target cannot be met. The sample is drawn too; a quality falls short by the report it was drawn by."""
+    """Qualities whose target cannot be met, by the report that the sample's quotas come from."""
     return p4_report(spark, d).where("short").select("quality")
 
 
