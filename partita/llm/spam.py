@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # a word in one case, digits, or a sign; joined words like GuitarBest12 fall apart where their case or kind changes
 _TOKEN = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+|[^\w\s]|_")
+_LINE_END = re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
 _COMMENT_MARKS = re.compile(r"<!--|-->")
 _REF = re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>.*?</ref\s*>", re.S | re.I)
 _TABLE = re.compile(r"\{\|.*?(?:\n\|\}|\Z)", re.S)
@@ -44,6 +45,8 @@ def residue(text: str) -> tuple[int, int, str]:
     """
     if "&" in text:
         text = html.unescape(text)
+    if not text.isprintable():
+        text = _LINE_END.sub("\n", text)
     if "<" in text:
         text = _REF.sub(" ", _COMMENT_MARKS.sub("\n", text))
     if "{|" in text:

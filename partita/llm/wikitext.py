@@ -28,11 +28,22 @@ def repair(text: str) -> str:
         except UnicodeError:
             return s
 
-    return _MOJIBAKE.sub(fix, text)
+    for _ in range(3):  # some were broken more than once
+        again = _MOJIBAKE.sub(fix, text)
+        if again == text:
+            break
+        text = again
+    return text
+
+
+# Link prefixes that put a page somewhere and show nothing.
+PLACING = ("category", "kategorie", "catégorie", "categoría")
 
 
 def _shown(m: re.Match[str]) -> str:
     target, _, label = m.group(1).rpartition("|")
+    if ":" in m.group(1) and m.group(1).split(":", 1)[0].strip().lower() in PLACING:
+        return " "
     return label or target.split("|")[0]
 
 
