@@ -41,7 +41,7 @@ def residue(text: str) -> tuple[int, int, str]:
     Tables, templates, footnotes, categories, lists of wiki links and headings are the wiki's own; hidden
     text and comments count as text, as does a template value of unusual length. A sentence ends in a
     full stop, question or exclamation mark and has at least four words, one of them a word that
-    holds clauses together, and no address.
+    holds clauses together, and no address; without the mark eight words of which a fifth hold clauses are one.
     """
     if "&" in text:
         text = html.unescape(text)
@@ -70,7 +70,8 @@ def residue(text: str) -> tuple[int, int, str]:
         if not part:
             continue
         words = _WORD.findall(part)
-        if len(words) >= 4 and part[-1] in ".!?" and not _ADDRESS.search(part) and not CLAUSE_WORDS.isdisjoint(map(str.lower, words)):
+        held = sum(map(CLAUSE_WORDS.__contains__, map(str.lower, words))) if len(words) >= 4 else 0
+        if held and (part[-1] in ".!?" or (len(words) >= 8 and held >= 0.2 * len(words))) and not _ADDRESS.search(part):
             sentences += 1
             chars += len(part)
         else:
@@ -130,7 +131,7 @@ def repeated_coverage(tokens: list[str], least: int = 3) -> int:
 
 
 #: A page is spam with at most so many sentences, at least so many characters outside them, more than inside, and so much of these repeated.
-MAX_SENTENCES, MIN_REST, MIN_COVERAGE = 2, 80, 0.45
+MAX_SENTENCES, MIN_REST, MIN_COVERAGE = 2, 80, 0.35
 
 
 def page_features(text: str) -> tuple[int, int, int, float]:
