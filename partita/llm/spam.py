@@ -130,8 +130,9 @@ def repeated_coverage(tokens: list[str], least: int = 3) -> int:
     return covered
 
 
-#: A page is spam with at most so many sentences, at least so many characters outside them, more than inside, and so much of these repeated.
-MAX_SENTENCES, MIN_REST, MIN_COVERAGE = 2, 80, 0.35
+#: A page is spam with at most so many sentences, at least so many characters outside them, more than inside, and so
+#: much of these repeated; a second sentence takes so much more.
+MAX_SENTENCES, MIN_REST, MIN_COVERAGE, MORE_COVERAGE = 2, 80, 0.35, 0.15
 
 
 def page_features(text: str) -> tuple[int, int, int, float]:
@@ -160,5 +161,5 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_score, "doc_id bigint, sentences int, sentence_chars int, rest_chars int, coverage double")
-    spam = (F.col("sentences") <= MAX_SENTENCES) & (F.col("rest_chars") >= MIN_REST) & (F.col("rest_chars") > F.col("sentence_chars")) & (F.col("coverage") >= MIN_COVERAGE)
+    spam = (F.col("sentences") <= MAX_SENTENCES) & (F.col("rest_chars") >= MIN_REST) & (F.col("rest_chars") > F.col("sentence_chars")) & (F.col("coverage") >= MIN_COVERAGE + MORE_COVERAGE * F.greatest(F.col("sentences") - 1, F.lit(0)))
     return scored.withColumn("is_spam", spam)
