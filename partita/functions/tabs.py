@@ -60,6 +60,22 @@ def chroma_tonnetz(bits: Column) -> Column:
     return F.array(*rows)
 
 
+def interval_chord(notes: Column) -> Column:
+    """Name of a set of notes: root and quality of the first root, from the lowest note up, whose set is in the vocabulary;
+    else the lowest note with the semitones above it in parentheses; N for no notes, null for null."""
+    bass = F.pmod(F.array_min(notes), F.lit(12))
+    roots = F.array(*[F.lit(r) for r in V.ROOTS])
+    steps = F.array_sort(F.array_distinct(F.transform(notes, lambda n: F.pmod(n - bass, F.lit(12)))))
+    above = lambda root: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(F.array_contains(steps, F.pmod(i + root, F.lit(12)).cast("int")), "1").otherwise("0")), "")
+    bits = F.array(*[F.lit(b) for b in V.QUALITIES.values()])
+    names = F.array(*[F.lit(q) for q in V.QUALITIES])
+    fits = F.filter(F.transform(steps, lambda r: F.struct(r.alias("r"), F.array_position(bits, above(r)).alias("q"))), lambda s: s["q"] > 0)
+    name = lambda r: F.element_at(roots, (F.pmod(bass + r, F.lit(12)) + 1).cast("int"))
+    known = F.concat(name(fits[0]["r"]), F.lit(":"), F.element_at(names, fits[0]["q"].cast("int")))
+    plain = F.concat(name(F.lit(0)), F.lit(":("), F.array_join(F.transform(F.slice(steps, 2, 12), lambda x: x.cast("string")), ","), F.lit(")"))
+    return F.when(F.size(notes) == 0, F.lit("N")).when(F.size(fits) > 0, known).otherwise(plain)
+
+
 def bigram_states(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """(a, b, state, lines): successive classes looked up in a lexicon of the ``size`` heaviest pairs relative to b's root.
 

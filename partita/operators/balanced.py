@@ -147,9 +147,6 @@ def key_summary(
         .agg(F.max("n").alias("n_top"), F.min(F.struct((-F.col("n")).alias("m"), F.col("value"))).alias("best"))
         .select("key", F.col("best.value").alias("top_value"), "n_top")
     )
-    all_rows = totals.agg(F.sum("n_rows").alias("all_rows"))
-    return (
-        null_safe_join(totals, top, ["key"], "left")
-        .join(F.broadcast(all_rows))
-        .select("key", "n_rows", "n_frames", "top_value", "n_top", "n_changes", (F.col("n_rows") >= hot_share * F.col("all_rows")).alias("is_hot"))
-    )
+    # one number, from the states already written
+    all_rows = states.agg(F.sum("n_rows")).first()[0] or 0
+    return null_safe_join(totals, top, ["key"], "left").select("key", "n_rows", "n_frames", "top_value", "n_top", "n_changes", (F.col("n_rows") >= F.lit(hot_share) * all_rows).alias("is_hot"))

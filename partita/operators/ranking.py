@@ -36,7 +36,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
 
 
 def global_rank(
-    df: DataFrame, by: list[str], order: str, tie: list[str], out: str = "rank", weight: str | None = None, bits: int = 8
+    df: DataFrame, by: list[str], order: str, tie: list[str], out: str = "rank", weight: str | None = None, bits: int = 10
 ) -> DataFrame:
     """``row_number`` (or the running sum of ``weight``, row included) per ``by`` in the order of ``order``.
 

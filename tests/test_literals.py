@@ -158,6 +158,12 @@ def test_tabs(spark):
     assert r.t == "X,3,2,0,1,0" and r.s == r.f and [row.index(1) for row in r.m] == [8, 3, 2, 0, 1, 0]
 
 
+def test_interval_chord(spark):
+    cases = [([60, 64, 67], "C:maj"), ([64, 67, 72], "C:maj"), ([45, 52, 57, 60, 64], "A:min"), ([60, 61, 62], "C:(1,2)"), ([], "N"), (None, None), ([55], "G:()")]
+    df = spark.createDataFrame(cases, "n array<int>, want string")
+    assert all(a == b for a, b in rows(df.select(T.interval_chord(F.col("n")), "want")))
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("/a/b/c.tar.gz",), ("/a/.hidden",), ("plain",), (None,)], "p string")
     c = F.col("p")

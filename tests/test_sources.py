@@ -95,3 +95,17 @@ def test_stream_runs(spark, tmp_path):
     q = windowed_counts(stream, "ts", "label", "2 minutes", "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.label, r.n) for r in spark.read.parquet(str(tmp_path / "out2")).collect()} >= {("a", 2), ("b", 2)}
+
+
+def test_files(spark, tmp_path):
+    from partita.sources import files as H
+
+    (tmp_path / "none").write_bytes(b"")
+    (tmp_path / "some").write_bytes(b"1")
+    assert H.is_empty(spark, str(tmp_path / "none")) and not H.is_empty(spark, str(tmp_path / "some")) and not H.is_empty(spark, str(tmp_path / "gone"))
+    H.create_directory(spark, str(tmp_path / "a" / "b"))
+    H.copy(spark, str(tmp_path / "some"), str(tmp_path / "a" / "b" / "copy"))
+    assert (tmp_path / "a" / "b" / "copy").read_bytes() == b"1"
+    with H.temporary(spark, str(tmp_path), ".json") as p:
+        open(p, "w").write("x")
+    assert not list(tmp_path.glob("tmp_*"))
