@@ -60,9 +60,11 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    """(key, frame, quality) of every frame with a label."""
-    e = latest_rows(table(spark, d, "chord_entities"), "key", "ingested_at", F.col("chord_labels"))
-    frames = e.select("key", F.posexplode("chord_labels").alias("frame", "label")).where("label is not null")
+    """(key, frame, quality) of every labelled frame of the recordings: the latest row of each (key, frame), then without null labels."""
+    rows = table(spark, d, "chord_frames").where("key is not null and frame is not null")
+    # per (key, frame), so that a key with very many frames is spread over the tasks
+    latest = rows.groupBy("key", "frame").agg(F.max(F.struct("ingested_at", F.col("chord_labels").alias("label"))).alias("r"))
+    frames = latest.select("key", "frame", "r.label").where("label is not null")
     return with_canonical_chord(frames, "label", "chord").select("key", "frame", chord_quality(F.col("chord")).alias("quality"))
 
 
