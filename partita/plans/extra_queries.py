@@ -20,7 +20,7 @@ from partita.plans.join_queries import STEP, WIDTH
 from partita.plans.model_queries import _vote_sql
 from partita.plans.score_queries import VOC
 from partita.plans.standins import FRAMES, IV, events, frames, intervals
-from partita.session import ensure_checkpoint_dir, table
+from partita.session import cut_lineage, ensure_checkpoint_dir, table
 
 QUERIES, SQL = {}, {}
 
@@ -153,14 +153,15 @@ nn AS (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a
 w AS (SELECT vec_id AS start, 0 AS step, vec_id AS node FROM q UNION ALL SELECT w.start, w.step + 1, nn.neighbour FROM w JOIN nn ON nn.vec_id = w.node AND nn.rank = CAST('0x' || substr(md5(CAST(w.start AS VARCHAR) || '|' || CAST(w.step AS VARCHAR) || '|2'), 1, 8) AS BIGINT) % 3 + 1 WHERE w.step < 6)
 SELECT start, CAST(step AS INT) AS step, node FROM w""")
 def neighbour_walks(spark: SparkSession, d: str) -> DataFrame:
-    """Six steps over the three nearest neighbours from every twentieth vector, all walks at once, one join a step."""
-    q = frames(spark, d).where("vec_id % 20 = 0").select("vec_id", "x")
-    graph = nearest_rows(q, q, "vec_id", "x", 3).select(F.col("vec_id").alias("node"), "neighbour", "rank").persist()
-    step = q.select(F.col("vec_id").alias("start"), F.lit(0).alias("step"), F.col("vec_id").alias("node"))
+    """Six steps over the three nearest of all vectors from every twentieth vector, all walks at once: a step searches the nodes the walks have reached against the whole pool."""
+    pool = frames(spark, d).select("vec_id", "x")
+    step = pool.where("vec_id % 20 = 0").select(F.col("vec_id").alias("start"), F.lit(0).alias("step"), F.col("vec_id").alias("node"))
     out = step
     for i in range(6):
         pick = (F.conv(F.substring(md5_key(F.col("start"), F.lit(i), 2), 1, 8), 16, 10).cast("bigint") % 3 + 1).cast("int")
-        step = step.withColumn("rank", pick).join(graph, ["node", "rank"]).select("start", F.lit(i + 1).alias("step"), F.col("neighbour").alias("node"))
+        at = pool.join(step.select(F.col("node").alias("vec_id")).distinct(), "vec_id")
+        near = nearest_rows(at, pool, "vec_id", "x", 3).select(F.col("vec_id").alias("node"), "neighbour", "rank")
+        step = cut_lineage(step.withColumn("rank", pick).join(near, ["node", "rank"]).select("start", F.lit(i + 1).alias("step"), F.col("neighbour").alias("node")))
         out = out.unionByName(step)
     return out
 
