@@ -194,13 +194,13 @@ def sample_bias(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def network_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Mean posterior of the first class for every network in the registry, over tiles of all tracks."""
+    """Mean posterior of the first class for every network in the registry, over every tile of all tracks."""
     from partita.operators import sequences as S
 
     f = frames(spark, d).withColumn("x", F.slice(F.concat("x", "x", "x", "x"), 1, 96))
-    tiles = S.tiles(f, "track", ["frame"], "x", 8).where("frame % 25 = 0").select("track", "frame", F.flatten("tile").alias("x"))
+    tiles = S.tiles(f, "track", ["frame"], "x", 8).select("track", "frame", F.flatten("tile").alias("x"))
     out = None
-    for name in ("chords_S", "chords_dense_head", "chords_templates", "chords_dense", "chroma", "classes_sigmoid", "frets", "frets_rbf", "frets_sigmoid", "embedding"):
+    for name in M.MODELS:
         y = M.apply_network(tiles, "x", (1, 8, 96), M.MODELS[name](frames=8, bins=96), "y").select(F.lit(name).alias("model"), F.size("y").alias("outputs"), F.get("y", F.lit(0)).alias("first"))
         out = y if out is None else out.unionByName(y)
     return out.groupBy("model", "outputs").agg(F.avg("first").alias("mean_first"), F.count(F.lit(1)).alias("n"))
