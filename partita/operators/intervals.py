@@ -55,6 +55,24 @@ def asof_label(points: DataFrame, ivs: DataFrame, key: str, time: str, width: in
     return held.select("__row.*", F.coalesce(label, F.lit(fill)).alias("label"))
 
 
+def held_label(points: DataFrame, ivs: DataFrame, key: str, time: str, width: int, fill: str = "N") -> DataFrame:
+    """Adds ``label`` of the interval [s, e) begun last among those that hold each point's time, or ``fill``.
+
+    Intervals may overlap, nest and repeat; of those begun together the longest counts, then the larger label.
+    Points are distinct rows. A range join in time buckets of ``width``, so a long key is spread over its
+    buckets; an interval is cut to its key's points first, so none is dealt to buckets without any.
+    """
+    span = points.groupBy(key).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    first, last = F.greatest("s", "__lo"), F.least(F.col("e") - 1, F.col("__hi"))
+    near = ivs.join(span, key).where(first <= last)
+    buckets = F.explode(F.sequence(F.floor(first / width).cast("bigint"), F.floor(last / width).cast("bigint")))
+    i = near.select(F.col(key).alias("__k"), buckets.alias("__ib"), F.col("s").alias("__s"), F.col("e").alias("__e"), F.col("label").alias("__label"))
+    p = points.withColumn("__b", F.floor(F.col(time) / width).cast("bigint"))
+    both = p.join(i, (p[key] == i["__k"]) & (p["__b"] == i["__ib"]) & (p[time] >= i["__s"]) & (p[time] < i["__e"]), "left")
+    held = both.groupBy(*points.columns, "__b").agg(F.max(F.when(F.col("__s").isNotNull(), F.struct("__s", "__e", "__label"))).alias("__held"))
+    return held.select(*points.columns, F.coalesce("__held.__label", F.lit(fill)).alias("label"))
+
+
 def to_grid(ivs: DataFrame, key: str, step: int, width: int, fill: str = "N") -> DataFrame:
     """(key, tick, t, label): each key's span sampled every ``step`` from its first start."""
     span = ivs.groupBy(key).agg(F.min("s").alias("lo"), F.max("e").alias("hi"))

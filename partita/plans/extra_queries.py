@@ -54,8 +54,8 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_ANN}, one AS (SELECT key, s, max(struct_pack(e := e, label := label)) AS m FROM ms WHERE e > s GROUP BY key, s)
 SELECT pt.key, pt.frame, pt.t, CASE WHEN pt.t < one.m.e THEN one.m.label ELSE 'N' END AS label FROM pt ASOF LEFT JOIN one ON pt.key = one.key AND pt.t >= one.s""")
 def import_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Every frame with the label of the annotation interval begun last before it, N where none holds it."""
-    return I.asof_label(_points(spark, d), _annotation(spark, d, "key"), "key", "t", 60_000)
+    """Every frame with the label of the annotation interval begun last of those that hold it, N where none does."""
+    return I.held_label(_points(spark, d), _annotation(spark, d, "key"), "key", "t", 60_000)
 
 
 @query(f"""WITH {_ANN}, one AS (SELECT key, annotator, s, max(struct_pack(e := e, label := label)) AS m FROM ms WHERE e > s GROUP BY key, annotator, s),
@@ -66,8 +66,8 @@ def import_two_annotators(spark: SparkSession, d: str) -> DataFrame:
     """Every frame with the labels of two annotators side by side."""
     ann = _annotation(spark, d, "key", "annotator")
     points = _points(spark, d)
-    one = I.asof_label(points, ann.where("annotator = 'ann_a'").drop("annotator"), "key", "t", 60_000).withColumnRenamed("label", "first")
-    return I.asof_label(one, ann.where("annotator = 'ann_b'").drop("annotator"), "key", "t", 60_000).withColumnRenamed("label", "second")
+    one = I.held_label(points, ann.where("annotator = 'ann_a'").drop("annotator"), "key", "t", 60_000).withColumnRenamed("label", "first")
+    return I.held_label(one, ann.where("annotator = 'ann_b'").drop("annotator"), "key", "t", 60_000).withColumnRenamed("label", "second")
 
 
 _RANK = "CASE label " + " ".join(f"WHEN '{k}' THEN {12 * v} + sp.user_id % 12" for k, v in SC.RANK.items()) + " ELSE 156 END"
