@@ -28,14 +28,21 @@ def _top(ids: list, points: np.ndarray, k: int, decimals: int):
                 continue
             own, x = np.asarray(b.column("id").to_pylist()), matrix(b.column("x"))
             q, n, dist = [], [], []
-            for lo in range(0, len(points), 2048):
-                p = points[lo : lo + 2048]
-                near = np.sqrt(np.maximum(norms[lo : lo + 2048, None] - 2 * p @ x.T + (x**2).sum(axis=1), 0))
-                near[np.asarray(ids[lo : lo + 2048])[:, None] == own] = np.inf
-                m = min(k + 8, len(own))
-                best = np.argpartition(near, m - 1, axis=1)[:, :m] if m < len(own) else np.tile(np.arange(len(own)), (len(p), 1))
-                for i, row in enumerate(best):
-                    # exact distances for the few that can be among the nearest
+            size = (x**2).sum(axis=1)
+            for lo in range(0, len(points), 512):
+                p = points[lo : lo + 512]
+                both = norms[lo : lo + 512, None] + size
+                near = both - 2 * p @ x.T
+                # what rounding can have done to a squared distance, with room to spare
+                error = 8 * (p.shape[1] + 8) * np.finfo(float).eps * both
+                most = np.where(np.asarray(ids[lo : lo + 512])[:, None] == own, np.inf, near + error)
+                # at least k rows are this near; whatever may be as near after rounding stays, however many rows that are
+                bound = np.partition(most, k - 1, axis=1)[:, k - 1] if k <= len(own) else np.full(len(p), np.inf)
+                reach = (np.sqrt(np.maximum(bound, 0)) * (1 + 1e-12) + 1.01 * 10.0**-decimals) ** 2
+                may = ~(near - error > reach[:, None])
+                for i in range(len(p)):
+                    row = np.flatnonzero(may[i])
+                    # exact distances for those that can be among the nearest
                     d = np.round(np.sqrt(((x[row] - p[i]) ** 2).sum(axis=1)), decimals)
                     keep = np.lexsort((own[row], d))
                     keep = [j for j in keep if own[row[j]] != ids[lo + i]][:k]
@@ -50,7 +57,8 @@ def _top(ids: list, points: np.ndarray, k: int, decimals: int):
 def nearest_rows(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, decimals: int = 9) -> DataFrame:
     """(key, neighbour, dist, rank): the k nearest other pool rows of each query, by Euclidean distance rounded to ``decimals``, then id.
 
-    Each task keeps the k nearest of its batch, so what is shuffled is k rows per query and batch.
+    Each task keeps the k nearest of its batch, so what is shuffled is k rows per query and batch. Rows at one distance
+    are all compared by id, also where copies of one vector are more than k.
     Queries go out in blocks of QUERY_BLOCK. Rows with a null vector are nobody's neighbour.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("x"))
