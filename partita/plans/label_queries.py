@@ -79,8 +79,8 @@ lex AS (SELECT ra, rb, row_number() OVER (ORDER BY count(*) DESC, ra NULLS FIRST
 
 @query(_BIG + ", n AS (SELECT count(*) AS n FROM lex) SELECT q.a, q.b, CAST(CASE WHEN lex.i IS NULL THEN NULL ELSE n.n * CASE WHEN q.b = 156 THEN 0 ELSE q.b % 12 END + lex.i END AS BIGINT) AS state, count(*) AS lines FROM q CROSS JOIN n LEFT JOIN lex ON q.ra IS NOT DISTINCT FROM lex.ra AND q.rb = lex.rb GROUP BY ALL")
 def bigram_state(spark: SparkSession, d: str) -> DataFrame:
-    """State of each pair of successive classes in a lexicon of the 200 heaviest relative pairs, times twelve roots; unknown pairs are null."""
-    return T.bigram_states(chord_steps(spark, d), "l_orderkey", ["l_linenumber", "l_partkey"], 200)
+    """State of each pair of successive classes in a lexicon of the 834 heaviest relative pairs, times twelve roots; unknown pairs are null."""
+    return T.bigram_states(chord_steps(spark, d), "l_orderkey", ["l_linenumber", "l_partkey"], 834)
 
 
 @query(f"WITH {VOC} SELECT idx, label, chroma, list_transform(range(24), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(chroma, i // 2 + 1, 1) AS INT) ELSE 0 END) AS spread FROM voc")
