@@ -22,8 +22,7 @@ SPLITS, SHARES = ["train", "valid", "test"], [0.6, 0.2, 0.2]
 
 def p1_cases(spark: SparkSession, d: str) -> DataFrame:
     """Every overlap of a held-out record with its fold's train split, with kind and overlap fraction."""
-    e = latest_rows(table(spark, d, "chord_entities"), "key", "ingested_at", F.col("cqt"))
-    return cross_split_cases(e, table(spark, d, "split_keys"))
+    return cross_split_cases(table(spark, d, "chord_entities"), table(spark, d, "split_keys"), "ingested_at")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
