@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "partita", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,6 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a driver-made plan table (targets, quotas, sources) up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_small(df: DataFrame, rows: int) -> DataFrame:
+    """The broadcast hint for a table of a known number of rows, if that is small; beyond it the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
