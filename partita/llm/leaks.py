@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Hashable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,22 +11,24 @@ from pyspark.sql import functions as F
 
 from partita.llm.wikitext import plain_words
 
-#: Words of a passage and the character edits it may have; it is split into budget + 1 pieces.
+#: Words of a passage, and the edits (words changed, put in or left out) it may have; it is split into budget + 1 pieces.
 PASSAGE, BUDGET = 12, 1
-#: Items that are searched for together; more are taken in blocks, each a pass over the corpus.
-ITEMS_PER_BLOCK = 20_000
+#: Bytes of item texts that one index holds; more are taken in blocks, each a pass over the corpus.
+INDEX_BYTES = 32 << 20
+_HITS = "doc_id bigint, item_id bigint, edits bigint, run bigint"
 
 
-def myers_distance(pattern: str, text: str, limit: int) -> int:
-    """Least edits that turn the pattern into some substring of the text, limit + 1 if more than the limit.
+def myers_distance(pattern: Sequence[Hashable], text: Sequence[Hashable], limit: int) -> int:
+    """Least edits that turn the pattern into some stretch of the text, limit + 1 if more than the limit.
 
     Myers' bit-parallel automaton: one column of the edit matrix is a pair of bit vectors (where
-    the next cell is one more, one less); Python's integers give them any width.
+    the next cell is one more, one less); Python's integers give them any width. Works on
+    characters and on words.
     """
     m = len(pattern)
     if not m:
         return 0
-    masks: dict[str, int] = {}
+    masks: dict[Hashable, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -46,73 +49,91 @@ def myers_distance(pattern: str, text: str, limit: int) -> int:
     return min(best, limit + 1)
 
 
-class _Index:
-    """Pieces of all items in one automaton, with where they stand."""
+class PassageIndex:
+    """The passages of all items by their pieces. Equal passages are kept once, with the items that have them."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        import ahocorasick
-
         self.size = PASSAGE // (BUDGET + 1)
-        self.words = {i: plain_words(t) for i, t in items}
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, w in self.words.items():
-            if len(w) >= PASSAGE:
-                for j in range(len(w) - self.size + 1):
-                    places.setdefault(" " + " ".join(w[j : j + self.size]) + " ", []).append((i, j))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in places.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        self.empty = not places
-        if places:
-            self.automaton.make_automaton()
+        self.passages: list[list[str]] = []
+        self.owners: list[list[int]] = []
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        numbers: dict[str, int] = {}
+        for item, text in items:
+            w = plain_words(text)
+            for p in dict.fromkeys(" ".join(w[i : i + PASSAGE]) for i in range(len(w) - PASSAGE + 1)):
+                n = numbers.setdefault(p, len(numbers))
+                if n == len(self.passages):
+                    words = p.split(" ")
+                    self.passages.append(words)
+                    self.owners.append([])
+                    for at in range(0, PASSAGE, self.size):
+                        self.pieces.setdefault(" ".join(words[at : at + self.size]), []).append((n, at))
+                self.owners[n].append(item)
+        self.known = frozenset(c for p in self.passages for c in p)
+        self.stretch = re.compile(b"\1{%d,}" % self.size)
 
     def search(self, words: list[str]) -> dict[int, tuple[int, int]]:
-        """item -> (least edits of a passage, longest exact run of words found), over all piece hits."""
-        line = " " + " ".join(words) + " "
-        found: dict[int, tuple[int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for end, (length, where) in self.automaton.iter(line):
-            at = line.count(" ", 0, end + 1 - length + 1) - 1
-            for item, j in where:
-                w = self.words[item]
-                for s in range(j - (PASSAGE - self.size), j + 1, self.size):
-                    lo = at - (j - s)
-                    if s < 0 or s + PASSAGE > len(w) or (item, s, lo) in tried:
-                        continue
-                    tried.add((item, s, lo))
-                    passage = w[s : s + PASSAGE]
-                    if lo >= 0 and words[lo : lo + PASSAGE] == passage:
-                        a, b = lo + PASSAGE, s + PASSAGE
-                        while a < len(words) and b < len(w) and words[a] == w[b]:
-                            a, b = a + 1, b + 1
-                        found[item] = (0, max(found.get(item, (0, 0))[1], b - s))
-                        continue
-                    if item in found:
+        """item -> (least edits of a passage, words of the longest stretch whose every passage is the item's)."""
+        flags = bytes(map(self.known.__contains__, words))
+        edits: dict[tuple[int, int], int] = {}
+        for m in self.stretch.finditer(flags):
+            for i in range(m.start(), m.end() - self.size + 1):
+                for n, at in self.pieces.get(" ".join(words[i : i + self.size]), ()):
+                    lo = i - at
+                    if (lo, n) in edits:
                         continue
-                    # an edit touches two words of the passage at most
-                    near = words[max(0, lo - 2) : lo + PASSAGE + 2]
-                    if len(set(passage).difference(near)) > 2 * BUDGET:
-                        continue
-                    edits = myers_distance(" ".join(passage), " ".join(near), BUDGET)
-                    if edits <= BUDGET:
-                        found[item] = (edits, 0)
-        return found
-
-
-_cache: dict[int, _Index] = {}
+                    near, passage = words[max(0, lo - BUDGET) : lo + PASSAGE + BUDGET], self.passages[n]
+                    # a passage word that is nowhere near takes an edit at least
+                    missing = len(set(passage).difference(near))
+                    edits[lo, n] = myers_distance(passage, near, BUDGET) if missing <= BUDGET else BUDGET + 1
+        best: dict[int, int] = {}
+        exact: dict[int, set[int]] = {}
+        for (lo, n), e in edits.items():
+            if e <= BUDGET:
+                for item in self.owners[n]:
+                    best[item] = min(best.get(item, e), e)
+                    if not e and words[lo : lo + PASSAGE] == self.passages[n]:
+                        exact.setdefault(item, set()).add(lo)
+        return {item: (e, _longest(exact[item]) if item in exact else 0) for item, e in best.items()}
+
+
+def _longest(starts: set[int]) -> int:
+    """Words from the first of the most successive passage starts to the end of the last."""
+    longest = 0
+    for s in starts:
+        if s - 1 not in starts:
+            n = 1
+            while s + n in starts:
+                n += 1
+            longest = max(longest, n)
+    return longest + PASSAGE - 1
+
+
+_cache: dict[str, PassageIndex] = {}
+
+
+def _digest(items: list[tuple[int, str]]) -> str:
+    import xxhash
+
+    h = xxhash.xxh3_128()
+    for i, t in items:
+        b = t.encode("utf-8", "surrogatepass")
+        h.update(b"%d %d " % (i, len(b)))
+        h.update(b)
+    return h.hexdigest()
 
 
 def _searcher(items: list[tuple[int, str]]):
-    mark = hash(tuple(i for i, _ in items)) ^ sum(len(t) for _, t in items)
+    mark = _digest(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _cache.get(mark)
         if index is None:
             _cache.clear()
-            index = _cache[mark] = _Index(items)
+            index = _cache[mark] = PassageIndex(items)
         for b in batches:
             out: list[tuple[int, int, int, int]] = []
-            if not index.empty:
+            if index.passages:
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if text:
                         out.extend((doc, item, e, n) for item, (e, n) in index.search(plain_words(text)).items())
@@ -126,19 +147,24 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, run): documents that hold a passage of PASSAGE successive words of an item.
 
     A passage is split into BUDGET + 1 pieces of whole words, so one of them survives BUDGET edits: the
-    documents are searched for the exact pieces of all items at once, and each hit is verified with
-    Myers' distance. edits is the least distance, run the longest exact stretch of words (from a passage's
-    start; 0 if there is no exact passage). Whole texts are read in place: there is no shuffle of
-    the corpus. Null and empty texts and items shorter than a passage match nothing; a repeated
-    row is searched like any other.
+    documents are searched for the exact pieces of all items at once, and every hit's passage is decided
+    by Myers' distance over words, exact ones (0 edits) too. Each passage is tried once per place, so the work
+    grows with the copied length. edits is the least distance; run counts the words of the longest stretch
+    of the document whose every passage is one of the item's (0 if no passage is exact). Whole texts are read in place:
+    there is no shuffle of the corpus. Null and empty texts and items shorter than a passage match
+    nothing; a repeated row is searched like any other.
+
+    Items are evaluation sets: INDEX_BYTES of their texts are sent to the tasks at a time, and beyond that
+    the corpus is read once for each such block of items, so neither a task nor the driver holds them all.
     """
-    n = items.count()
-    blocks = max(1, -(-n // ITEMS_PER_BLOCK))
+    known = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    size = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-size // INDEX_BYTES))
     out = None
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select(F.col("item_id").cast("bigint"), "text").where("item_id is not null and text is not null")
-        rows = sorted((r[0], r[1]) for r in part.collect())
-        hits = docs.mapInArrow(_searcher(rows), "doc_id bigint, item_id bigint, edits bigint, run bigint")
+        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        hits = docs.mapInArrow(_searcher(sorted((r[0], r[1]) for r in part.collect())), _HITS)
         out = hits if out is None else out.unionByName(hits)
-    return out
+    # texts of one item in two blocks
+    return out if blocks == 1 else out.distinct()
