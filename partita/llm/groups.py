@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.operators.ranking import global_rank, hash_order
-from partita.session import cut_lineage
+from partita.session import broadcast_small, cut_lineage
 
 #: Links a task unites in its own forest.
 LINKS_PER_TASK = 400_000
@@ -105,34 +107,32 @@ def connected_groups(links: DataFrame, links_per_task: int = LINKS_PER_TASK) ->
     return out
 
 
-def _fill(sizes: list[tuple[int, int]], targets: list[float]) -> list[tuple[int, int, int]]:
-    """Greedy largest-first over (size, how many): (size, split, how many), in order of assignment.
+def _fill(sizes: list[tuple[int, int]], targets: list[Fraction]) -> list[tuple[int, int, int]]:
+    """Greedy largest-first over (size, how many): (size, split, how many).
 
-    Each group goes to the split furthest below its target (ties: the first). Equal sizes are dealt in
-    bulk: while one split stays furthest below, it takes all groups it would take one by one.
+    Each group goes to the split furthest below its target (ties: the first). What a split lacks falls by one size
+    with each group it takes, so the greedy serves the largest of the splits' falling sequences, and
+    groups of one size are dealt in closed form: down to a common level of what is lacking every split takes
+    what lies above it; the few groups left over are dealt one by one. Equal to dealing all one by one, in exact numbers.
     """
-    left = list(targets)
+    left = [Fraction(t) for t in targets]
     out: list[tuple[int, int, int]] = []
     for size, count in sorted(sizes, reverse=True):
-        while count:
+        took = [0] * len(left)
+        # the level under which the lacks above it would take all groups, if groups could be split
+        lacks = sorted(left, reverse=True)
+        for k in range(1, len(lacks) + 1):
+            level = (sum(lacks[:k]) - count * size) / k
+            if k == len(lacks) or level >= lacks[k]:
+                break
+        for i, lack in enumerate(left):
+            took[i] = max(0, math.ceil((lack - level - size) / size))
+        left = [x - m * size for x, m in zip(left, took, strict=True)]
+        for _ in range(count - sum(took)):
             k = max(range(len(left)), key=lambda i: (left[i], -i))
-            second = max((left[i] for i in range(len(left)) if i != k), default=float("-inf"))
-            take = min(count, max(1, int((left[k] - second) // size)))
-            if take == 1 and count > 4 * len(left):
-                # all splits are level: deal the bulk by share, the rest one by one
-                total, share = sum(targets) or 1.0, 0
-                for i, t in enumerate(targets):
-                    m = int((count - 2 * len(left)) * t / total) if left[i] > -size else 0
-                    if m:
-                        out.append((size, i, m))
-                        left[i] -= m * size
-                        share += m
-                if share:
-                    count -= share
-                    continue
-            out.append((size, k, take))
-            left[k] -= take * size
-            count -= take
+            left[k] -= size
+            took[k] += 1
+        out += [(size, k, m) for k, m in enumerate(took) if m]
     return out
 
 
@@ -147,13 +147,13 @@ def assign_splits(groups: DataFrame, names: list[str], shares: list[float], seed
     table = [(r[0], r[1]) for r in sizes.groupBy("size").count().collect()]
     total = sum(s * c for s, c in table)
     plan, at = [], {}
-    for size, k, m in _fill(table, [total * x for x in shares]):
+    for size, k, m in _fill(table, [total * Fraction(str(x)) for x in shares]):
         lo = at.get(size, 0)
         plan.append((size, lo, lo + m, names[k]))
         at[size] = lo + m
     deal = groups.sparkSession.createDataFrame(plan or [(0, 0, 0, "")], "size bigint, lo bigint, hi bigint, split string")
     ranked = global_rank(sizes.withColumn("__h", hash_order(F.col("root"), seed=seed)), ["size"], "__h", ["root"], "__rank")
-    dealt = ranked.join(F.broadcast(deal), "size").where((F.col("__rank") > F.col("lo")) & (F.col("__rank") <= F.col("hi"))).select("root", "split")
+    dealt = ranked.join(broadcast_small(deal, len(plan)), "size").where((F.col("__rank") > F.col("lo")) & (F.col("__rank") <= F.col("hi"))).select("root", "split")
     return groups.join(dealt, "root").select("node", "root", "split")
 
 
