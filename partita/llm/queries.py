@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partita.functions.chords import canonical_chord, chord_quality, with_canonical_chord
 from partita.llm.groups import assign_splits, connected_groups, latest_rows, related_links
 from partita.llm.leaks import leaked_passages
-from partita.llm.mixing import mix
+from partita.llm.mixing import mix, shortfalls
 from partita.llm.overlap import cross_split_cases
 from partita.llm.runs import collapse_runs
 from partita.llm.sampling import stratified_sample
@@ -120,8 +120,8 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    return p8_report(spark, d).where("short").select("source")
+    """Sources whose quota the largest flow leaves unfilled."""
+    return shortfalls(table(spark, d, "documents"), table(spark, d, "source_weights")).where("short").select("source")
 
 
 def p9_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -137,13 +137,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_splits, p4_found, p4_report, p4_sample, p6_found, p6_events, p7_found, p7_leaks, p7_items, p8_found, p8_report, p8_mixture, p9_found, p9_pages)}
 
 _P4 = f"""
-WITH e AS (SELECT key, arg_max(coalesce(chord_labels, []), ingested_at) AS l FROM chord_entities GROUP BY key),
-f AS (SELECT key, unnest(l) AS lab FROM e),
-c AS (SELECT {chord_sql('lab')} AS c FROM f WHERE lab IS NOT NULL),
-q AS (SELECT CASE WHEN contains(c, ':') THEN split_part(c, ':', 2) ELSE c END AS quality, count(*) AS m FROM c GROUP BY 1),
-n AS (SELECT floor(sum(m) / 4) AS n FROM q),
-r AS (SELECT t.quality, coalesce(q.m, 0) AS available, CAST(greatest(ceil(t.target_share * n.n), t.min_frames) AS BIGINT) AS wanted
-      FROM quality_targets t CROSS JOIN n LEFT JOIN q ON q.quality = t.quality)
+WITH latest AS (SELECT key, frame, arg_max(struct_pack(l := chord_labels), ingested_at) AS v FROM chord_frames GROUP BY key, frame),
+named AS (SELECT {chord_sql('v.l')} AS c FROM latest WHERE v.l IS NOT NULL),
+q AS (SELECT CASE WHEN contains(c, ':') THEN split_part(c, ':', 2) ELSE c END AS quality, count(*) AS m FROM named GROUP BY 1),
+size AS (SELECT floor((SELECT count(*) FROM named) / 4) AS n),
+r AS (SELECT t.quality, coalesce(q.m, 0) AS available, CAST(greatest(ceil(t.target_share * size.n), t.min_frames) AS BIGINT) AS wanted
+      FROM quality_targets t CROSS JOIN size LEFT JOIN q ON q.quality = t.quality)
 """
 _P6 = f"""
 WITH latest AS (SELECT key, frame, arg_max(struct_pack(c := {CHORD_SQL}, t := time_point), ingested_at) AS v FROM chord_frames GROUP BY key, frame),

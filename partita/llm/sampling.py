@@ -8,65 +8,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators.ranking import global_rank, hash_order
-from partita.session import cut_lineage
+from partita.session import broadcast_small, cut_lineage
 
-#: Targets are a table of categories, not of records; more than this many are refused.
-MAX_CATEGORIES = 100_000
+def allocate(available: dict[str, int], targets: list[tuple[str, float, int]], n: int) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
+    """(quotas, shortfalls): integer quotas that sum to n where availability allows, and what availability cut.
 
-
-def allocate(available: dict[str, int], targets: list[tuple[str, float, int]], n: int) -> dict[str, int]:
-    """Integer quotas that sum to n where availability allows: largest remainder, then floors and caps.
-
-    A category's floor is its minimum, its cap what exists. Categories at a bound are fixed and the
-    rest is shared out again in proportion, until no bound is broken; remainders go to the largest
-    fractional part (ties: the smaller name).
+    A category's floor is its minimum, its cap what exists. Its quota is its share of a common level,
+    kept between floor and cap; the level is the one at which the quotas sum to n (all of them are their
+    floors if these are more, their caps if these are less). Fractions are rounded by largest remainder
+    (ties: the smaller name). shortfalls has (needed, granted) for each category whose cap is less than it
+    needs by its target alone: its share of n rounded up, or its minimum.
     """
     share = {q: max(0.0, float(s or 0.0)) for q, s, _ in targets}
-    cap = {q: available.get(q, 0) for q, _, _ in targets}
+    cap = {q: available.get(q, 0) for q in share}
     floor = {q: min(cap[q], int(m or 0)) for q, _, m in targets}
-    fixed: dict[str, int] = {}
-    free = set(share)
-    while free:
-        left = n - sum(fixed.values())
-        total = sum(share[q] for q in free)
-        want = {q: max(0, left) * share[q] / total if total > 0 else 0.0 for q in free}
-        low = {q: floor[q] for q in free if want[q] < floor[q]}
-        high = {q: cap[q] for q in free if want[q] > cap[q]}
-        # floors that are broken by more than caps free are fixed first, and the other way round
-        under, over = sum(floor[q] - want[q] for q in low), sum(want[q] - cap[q] for q in high)
-        if not low and not high:
-            quota = {q: math.floor(want[q]) for q in free}
-            for q in sorted(free, key=lambda q: (quota[q] - want[q], q))[: max(0, left - sum(quota.values())) if total > 0 else 0]:
-                quota[q] += 1
-            return fixed | {q: min(cap[q], quota[q]) for q in quota}
-        now = low if under >= over else high
-        if under == over:
-            now = low | high
-        fixed |= now
-        free -= set(now)
-    return fixed
+    need = {q: max(math.ceil((s or 0.0) * n), int(m or 0)) for q, s, m in targets}
+    # between the levels at which categories leave their floors and reach their caps the sum grows evenly
+    turns = sorted([(floor[q] / share[q], share[q]) for q in share if share[q]] + [(cap[q] / share[q], -share[q]) for q in share if share[q]])
+    level, slope, total = 0.0, 0.0, float(sum(floor.values()))
+    for at, change in turns:
+        if total + slope * (at - level) >= n:
+            break
+        total, level, slope = total + slope * (at - level), at, slope + change
+    if total < n and slope > 1e-12:
+        level += (n - total) / slope
+    real = {q: min(max(level * share[q], floor[q]), cap[q]) for q in share}
+    quota = {q: min(cap[q], math.floor(real[q] + 1e-9)) for q in real}
+    spare = n - sum(quota.values())
+    for q in sorted(quota, key=lambda q: (quota[q] - real[q], q)):
+        if spare <= 0 or quota[q] >= real[q]:
+            break
+        if quota[q] < cap[q]:
+            quota[q] += 1
+            spare -= 1
+    return quota, {q: (need[q], cap[q]) for q in need if cap[q] < need[q]}
 
 
 def target_report(rows: DataFrame, category: str, targets: DataFrame, fraction: float, name: str = "quality", share: str = "target_share", minimum: str = "min_frames") -> DataFrame:
-    """(category, available, wanted, quota, short) for each target; quota is what is drawn.
+    """(category, available, wanted, quota, short) for each target; quota is what is drawn, short what allocate() could not grant.
 
     wanted = max(ceil(share * n), minimum) with n = floor(fraction * all rows). The result is a
-    table of targets, so it is worked out on the driver from one count per category.
+    table of targets, so it is worked out on the driver from one count per target category.
     """
     spark = rows.sparkSession
-    t = [(r[0], r[1], r[2]) for r in targets.select(name, share, minimum).where(F.col(name).isNotNull()).dropDuplicates([name]).limit(MAX_CATEGORIES + 1).collect()]
-    if len(t) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} target categories")
-    wanted = F.broadcast(targets.select(F.col(name).alias("__t")).distinct()) if len(t) < 10_000 else targets.select(F.col(name).alias("__t")).distinct()
+    t = [(r[0], r[1], r[2]) for r in targets.select(name, share, minimum).where(F.col(name).isNotNull()).dropDuplicates([name]).collect()]
+    wanted = broadcast_small(targets.select(F.col(name).alias("__t")).distinct(), len(t))
     counts = rows.groupBy(category).agg(F.count(F.lit(1)).alias("m"))
     total = counts.agg(F.sum("m")).first()[0] or 0
     have = {r[0]: r[1] for r in counts.join(wanted, F.col(category) == F.col("__t"), "left_semi").collect()}
     n = math.floor(total * fraction)
-    quota = allocate(have, t, n)
-    out = []
-    for q, s, m in sorted(t):
-        want = max(math.ceil((s or 0.0) * n), m or 0)
-        out.append((q, have.get(q, 0), want, quota[q], have.get(q, 0) < want))
+    quota, short = allocate(have, t, n)
+    out = [(q, have.get(q, 0), max(math.ceil((s or 0.0) * n), m or 0), quota[q], q in short) for q, s, m in sorted(t)]
     return spark.createDataFrame(out, f"{name} string, available bigint, wanted bigint, quota bigint, short boolean")
 
 
@@ -80,7 +72,7 @@ def stratified_sample(rows: DataFrame, category: str, ids: list[str], targets: D
     rows = cut_lineage(rows)
     report = target_report(rows, category, targets, fraction, **names)
     name = names.get("name", "quality")
-    quota = F.broadcast(report.select(F.col(name).alias("__q"), F.col("quota").alias("__quota")))
+    quota = broadcast_small(report.select(F.col(name).alias("__q"), F.col("quota").alias("__quota")), report.count())
     keyed = rows.join(quota, F.col(category) == F.col("__q")).withColumn("__h", hash_order(*[F.col(c) for c in ids], seed=seed))
     ranked = global_rank(keyed, [category], "__h", ids, "__rank")
     return ranked.where(F.col("__rank") <= F.col("__quota")).drop("__q", "__quota", "__h", "__rank"), report

@@ -2,7 +2,9 @@
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from partita.functions.chords import canonical_chord
@@ -92,27 +94,39 @@ def test_splits_keep_groups(spark, sf):
         by[r.group_key].add(r.split)
     assert all(len(s) == 1 for s in by.values())
     assert len(rows) == len({r.key for r in rows})
-    largest = max(Counter(r.group_key for r in rows).values())
+    # the splits' sizes are those of the greedy over the groups, one by one
     n = Counter(r.split for r in rows)
-    for s, share in zip(("train", "valid", "test"), (0.6, 0.2, 0.2)):
-        assert abs(n[s] - share * len(rows)) <= largest
-
-
-def test_fill_is_greedy():
-    rng = random.Random(1)
-    for _ in range(50):
-        sizes = [(rng.randrange(1, 9), rng.randrange(1, 30)) for _ in range(4)]
-        sizes = list(Counter({s: c for s, c in sizes}).items())
-        total = sum(s * c for s, c in sizes)
-        left = [total * x for x in (0.6, 0.2, 0.2)]
-        plan = G._fill(sizes, left)
-        used = Counter()
-        for size, k, m in plan:
-            used[k] += size * m
-        assert sum(used.values()) == total
-        top = max(s for s, _ in sizes)
-        assert all(abs(used[k] - left[k]) <= 4 * top for k in range(3))
-        assert Counter({s: sum(m for z, _, m in plan if z == s) for s, _ in sizes}) == Counter(dict(sizes))
+    sizes = sorted(Counter(r.group_key for r in rows).values(), reverse=True)
+    assert n == {k: v for k, v in zip(("train", "valid", "test"), greedy(sizes, [Fraction(x, 10) * len(rows) for x in (6, 2, 2)])[1]) if v}
+
+
+def greedy(sizes, targets):
+    """([how many groups of each size each split took], [rows of each split])."""
+    left, took = list(targets), [Counter() for _ in targets]
+    for size in sorted(sizes, reverse=True):
+        k = max(range(len(left)), key=lambda i: (left[i], -i))
+        left[k] -= size
+        took[k][size] += 1
+    return took, [sum(s * m for s, m in t.items()) for t in took]
+
+
+@pytest.mark.parametrize("groups", [1, 3, 40, 1000, 10_000])
+def test_fill_is_greedy(groups):
+    rng = random.Random(groups)
+    for top in (1, 2, 9, 400):
+        for shares in ((6, 2, 2), (1, 1, 1), (9, 1, 0), (5, 3, 1, 1), (1,)):
+            sizes = [min(top, int(rng.paretovariate(1))) for _ in range(groups)]
+            targets = [Fraction(x, sum(shares)) * sum(sizes) for x in shares]
+            got = [Counter() for _ in shares]
+            for size, k, m in G._fill(list(Counter(sizes).items()), targets):
+                got[k][size] += m
+            assert got == greedy(sizes, targets)[0]
+
+
+def test_equal_groups_meet_the_shares(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i}") for i in range(1000)], "node string, root string")
+    got = Counter(r.split for r in G.assign_splits(df, ["a", "b", "c"], [0.6, 0.2, 0.2]).collect())
+    assert got == {"a": 600, "b": 200, "c": 200}
 
 
 def test_empty_splits(spark):

@@ -23,10 +23,12 @@ def test_query_equals_sql(spark, sf, name):
 def test_allocate():
     have = {"a": 100, "b": 100, "c": 3, "d": 50}
     t = [("a", 0.5, 0), ("b", 0.3, 0), ("c", 0.1, 5), ("d", 0.1, 20)]
-    q = allocate(have, t, 101)
+    q, short = allocate(have, t, 101)
+    assert short == {"c": (11, 3)}
     assert q["c"] == 3 and q["d"] == 20 and sum(q.values()) == 101
     assert abs(q["a"] / q["b"] - 5 / 3) < 0.1
-    assert allocate({}, t, 10) == {"a": 0, "b": 0, "c": 0, "d": 0}
+    assert allocate({}, t, 10)[0] == {"a": 0, "b": 0, "c": 0, "d": 0}
+    assert set(allocate({}, t, 10)[1]) == {"a", "b", "c", "d"}
     rng = random.Random(4)
     for _ in range(200):
         t = [(str(i), rng.random(), rng.randrange(0, 10)) for i in range(6)]
@@ -34,12 +36,20 @@ def test_allocate():
         t = [(a, b / z, c) for a, b, c in t]
         have = {a: rng.randrange(0, 60) for a, _, _ in t}
         n = rng.randrange(0, 200)
-        q = allocate(have, t, n)
+        q, short = allocate(have, t, n)
+        assert set(short) == {a for a, s, m in t if have[a] < max(math.ceil(s * n), m)}
         assert all(min(have[a], m) <= q[a] <= have[a] for a, _, m in t)
         floors = sum(min(have[a], m) for a, _, m in t)
         assert sum(q.values()) == min(max(n, floors), sum(have.values()))
 
 
+def test_many_categories():
+    n = 150_000
+    t = [(f"c{i:06d}", 1 / n, 1) for i in range(n)]
+    q, short = allocate({a: 1 + i % 5 for i, (a, _, _) in enumerate(t)}, t, 2 * n)
+    assert sum(q.values()) == 2 * n and len(short) == n // 5
+
+
 def test_sample_is_exact_and_seeded(spark):
     rng = random.Random(5)
     rows = [(f"k{i % 97}", i, "hot" if rng.random() < 0.7 else rng.choice(["x", "y", None]), 0, 9) for i in range(4000)]
