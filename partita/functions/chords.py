@@ -29,7 +29,7 @@ def canonical_chord(label: Column) -> Column:
     t = _plain(label)
     core = F.substring_index(F.substring_index(t, "/", 1), "(", 1)
     root = F.trim(F.substring_index(core, ":", 1))
-    rest = F.substring(root, 2, 1000)
+    rest = F.substr(root, F.lit(2))
     letter = F.substring(root, 1, 1)
     position = F.instr(F.lit(LETTER_POSITIONS), letter) - 1
     sharps = F.length(rest) - F.length(F.replace(rest, F.lit("#"), F.lit("")))
@@ -65,7 +65,7 @@ def with_canonical_chord(df: DataFrame, label: str, out: str) -> DataFrame:
     df = df.withColumn("__t", _plain(c(label)))
     df = df.withColumn("__core", F.substring_index(F.substring_index(c("__t"), "/", 1), "(", 1))
     df = df.withColumns({"__root": F.trim(F.substring_index(c("__core"), ":", 1)), "__colon": F.instr(c("__core"), ":")})
-    df = df.withColumns({"__pc": F.instr(F.lit(LETTER_POSITIONS), F.substring(c("__root"), 1, 1)) - 1, "__rest": F.substring(c("__root"), 2, 1000)})
+    df = df.withColumns({"__pc": F.instr(F.lit(LETTER_POSITIONS), F.substring(c("__root"), 1, 1)) - 1, "__rest": F.substr(c("__root"), F.lit(2))})
     df = df.withColumns({"__sharps": F.length(F.translate(c("__rest"), "b", "")), "__len": F.length(c("__rest")), "__none": F.length(F.translate(c("__rest"), "#b", ""))})
     quality = F.when(c("__colon") > 0, F.trim(F.substring_index(c("__core"), ":", -1))).otherwise(F.lit("maj"))
     df = df.withColumn("__quality", quality)

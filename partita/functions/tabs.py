@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita import vocab as V
+from partita.operators.sequences import ngrams
 
 # Notes of the open strings.
 TUNING = [40, 45, 50, 55, 59, 64]
@@ -81,8 +82,7 @@ def bigram_states(df: DataFrame, key: str, order: list[str], size: int) -> DataF
 
     state = size * root of b + position in the lexicon; a null first class is a valid left side, an unknown pair null.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    p = df.select(F.lag("idx").over(w).alias("a"), F.col("idx").alias("b"))
+    p = ngrams(df, key, order, "idx").select(F.col("prev").alias("a"), F.col("idx").alias("b"))
     q = p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lines")).withColumns({"ra": V.relative_class(F.col("b"), F.col("a")), "rb": V.relative_class(F.col("b"), F.col("b"))})
     heavy = q.groupBy("ra", "rb").agg(F.sum("lines").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("ra"), "rb").limit(size)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), F.asc_nulls_first("ra"), "rb")) - 1

@@ -7,10 +7,16 @@ rows of one bucket are ever sorted together.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.session import cut_lineage
+
 BUCKET = "__bucket"
+#: Rows that are sorted together.
+BUCKET_ROWS = 65_536
 
 
 def hash_order(*cols: Column, seed: int = 0) -> Column:
@@ -21,7 +27,8 @@ def hash_order(*cols: Column, seed: int = 0) -> Column:
 def with_offsets(df: DataFrame, by: list[str], bucket: str, sums: dict[str, Column]) -> DataFrame:
     """Per (by, bucket) the sums of all earlier buckets of the same group, as columns ``<name>``.
 
-    One row per non-empty bucket. ``by`` may be empty and may hold nulls.
+    One row per non-empty bucket. ``by`` may be empty and may hold nulls; without it the buckets' sums (not
+    the rows) pass through one window.
     """
     per = df.groupBy(*by, bucket).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in sums.items()])
     w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,15 +43,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
 
 
 def global_rank(
-    df: DataFrame, by: list[str], order: str, tie: list[str], out: str = "rank", weight: str | None = None, bits: int = 10
+    df: DataFrame, by: list[str], order: str, tie: list[str], out: str = "rank", weight: str | None = None, rows: int | None = None
 ) -> DataFrame:
     """``row_number`` (or the running sum of ``weight``, row included) per ``by`` in the order of ``order``.
 
-    ``order`` is a hash_order() number, so a bucket (its top ``bits`` bits) holds about 1/2**bits
-    of a group. Ties are broken by ``tie``. Empty input gives empty output; null groups are groups.
+    ``order`` is a hash_order() number, so a bucket (its top bits) holds an even part of a group. There are so many
+    buckets that one holds about BUCKET_ROWS rows if all rows are one group; ``rows`` is their number (counted
+    if not given). Ties are broken by ``tie``. Empty input gives empty output; null groups are groups.
     """
+    n = df.count() if rows is None else rows
+    bits = max(4, min(40, math.ceil(math.log2(max(1, n) / BUCKET_ROWS)) if n > BUCKET_ROWS else 4))
     one = F.col(weight) if weight else F.lit(1)
-    b = df.withColumn(BUCKET, F.shiftright(F.col(order), 62 - bits).cast("int"))
+    b = df.withColumn(BUCKET, F.shiftright(F.col(order), 62 - bits))
     off = with_offsets(b, by, BUCKET, {"__off": one})
     w = Window.partitionBy(*by, BUCKET).orderBy(order, *tie)
     inner = F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(w)
@@ -55,6 +65,25 @@ def global_rank(
     )
 
 
+def number_rows(df: DataFrame, order: list[str], out: str = "number", weight: str | None = None, upto: str = "upto") -> DataFrame:
+    """Adds the position from 0 over all rows in the order of any columns, and the sum of ``weight`` up to each row.
+
+    Rows are sorted in ranges, written once, and counted per range; one row per range is summed up.
+    """
+    sorted_ = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    # the upper bits are the partition, the lower ones the place in it
+    rows = sorted_.withColumn("__m", F.monotonically_increasing_id()).withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sums = {"__n": F.lit(1)} | ({"__w": F.col(weight)} if weight else {})
+    per = rows.groupBy("__p").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select(F.col("__p").alias("__q"), *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
+    rows = rows.join(off, F.col("__p") == F.col("__q")).withColumn(out, (F.col("__i") + F.col("__n")).cast("bigint"))
+    if weight:
+        inside = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(upto, F.sum(weight).over(inside) + F.col("__w"))
+    return rows.select(*df.columns, out, *([upto] if weight else []))
+
+
 def carry_last(df: DataFrame, by: list[str], bucket: str, order: list[Column | str], value: str, out: str) -> DataFrame:
     """Adds the last non-null ``value`` at or before each row of its group, in the order (bucket, order).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.operators.ranking import global_rank, null_safe_join, with_offsets
+from partita.operators.ranking import BUCKET_ROWS, global_rank, null_safe_join, number_rows, with_offsets
+from partita.session import broadcast_small, cut_lineage
 
 
 def md5_key(*parts: Column | str | int) -> Column:
@@ -19,18 +20,24 @@ def ranked(df: DataFrame, by: list[str], key: Column, tie: str, out: str = "rank
     return global_rank(keyed, by, "__o", ["__k", tie], out).drop("__k", "__o")
 
 
-def positions(df: DataFrame, order: str, width: int, out: str = "position") -> DataFrame:
-    """Position from 0 over all rows by a unique integer column; buckets of ``width`` values are ranked apart."""
-    b = df.withColumn("__b", F.floor(F.col(order) / width))
+def positions(df: DataFrame, order: list[str], out: str = "position", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Position from 0 over all rows by an order that is unique and begins with a number; buckets of that are ranked apart.
+
+    The buckets cut the number's range evenly into about one per ``rows`` rows, so their number follows the rows, not the range.
+    """
+    at = F.col(order[0])
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+    width = max(1, -(-(hi - lo + 1) * rows // n)) if lo is not None else 1
+    b = df.withColumn("__b", F.coalesce(F.floor((at - F.lit(lo or 0)) / width), F.lit(-1)))
     off = with_offsets(b, [], "__b", {"__off": F.lit(1)})
-    w = Window.partitionBy("__b").orderBy(order)
+    w = Window.partitionBy("__b").orderBy(*order)
     return null_safe_join(b.withColumn("__in", F.row_number().over(w)), off, ["__b"]).withColumn(out, (F.col("__off") + F.col("__in") - 1).cast("bigint")).drop("__in", "__off", "__b")
 
 
 def kfold(df: DataFrame, id_: str, folds: int, valid_ratio: float, seed: int) -> DataFrame:
     """(fold, split, id): each item is tested in one fold; int(ratio * rest) random others validate, the remainder trains."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
-    r = ranked(df.select(id_), [], md5_key(F.col(id_), seed), id_).join(F.broadcast(n))
+    r = ranked(df.select(id_), [], md5_key(F.col(id_), seed), id_).join(F.broadcast(n))  # one row
     tested = F.floor((F.col("rank") - 1) * folds / F.col("n")).cast("int")
     each = r.withColumn("own", tested).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     rest = ranked(each.where("own <> fold"), ["fold"], md5_key(F.col(id_), F.col("fold"), seed), id_, "pick")
@@ -43,12 +50,9 @@ def kfold(df: DataFrame, id_: str, folds: int, valid_ratio: float, seed: int) ->
 
 def uniform_classes(df: DataFrame, id_: str, label: str, seed: int) -> DataFrame:
     """(position, id, label): classes take turns, each in its own random order; a class that is used up is skipped."""
-    r = ranked(df.where(F.col(label).isNotNull()), [label], md5_key(F.col(id_), seed), id_)
-    sizes = r.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    table = sizes.agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("size"))).alias("sizes"))
-    k, c = F.col("rank"), F.col(label)
-    before = F.aggregate(F.transform("sizes", lambda s: F.least(s["size"], k - 1) + F.when((s["c"] < c) & (s["size"] >= k), 1).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return r.join(F.broadcast(table)).select(before.alias("position"), id_, label)
+    r = ranked(df.where(F.col(label).isNotNull()).select(id_, label), [label], md5_key(F.col(id_), seed), id_)
+    # the k-th rows of all classes come before every k+1-th row, in class order
+    return positions(r, ["rank", label]).select("position", id_, label)
 
 
 def weighted_mux(a: DataFrame, b: DataFrame, id_: str, weights: tuple[int, int], seed: int) -> DataFrame:
@@ -71,18 +75,20 @@ def contrastive_pairs(df: DataFrame, id_: str, label: str, seed: int) -> DataFra
     (class, rank), so no pairs of a class are formed. The last of a class meets its first; a lone row meets itself.
     """
     r = ranked(df.select(id_, label), [label], md5_key(F.col(id_), seed), id_)
-    sizes = r.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    table = F.broadcast(sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), F.col("size")))).alias("sizes")))
-    mine = r.join(table)
-    at = F.array_position(F.transform("sizes", lambda s: s["c"]), F.col(label)).cast("int")
-    n = F.size("sizes")
-    step = 1 + F.pmod(F.conv(F.substring(md5_key(F.col(id_), "other", seed), 1, 8), 16, 10).cast("bigint"), F.greatest(n - 1, F.lit(1))).cast("int")
-    own = F.element_at("sizes", at)
-    far = F.element_at("sizes", F.pmod(at - 1 + step, n) + 1)
+    sizes = cut_lineage(r.groupBy(label).agg(F.count(F.lit(1)).alias("size")))
+    n = sizes.count()
+    # classes are numbered in their order, and looked up by label and by number
+    numbered = cut_lineage(number_rows(sizes, [label]))
+    numbers = numbered.select(F.col(label).alias("__c"), "number", "size")
+    step = 1 + F.pmod(F.conv(F.substring(md5_key(F.col(id_), "other", seed), 1, 8), 16, 10).cast("bigint"), F.lit(max(n - 1, 1)))
+    mine = r.join(broadcast_small(numbers, n), F.col(label) == F.col("__c")).drop("__c")
+    mine = mine.withColumn("far", F.pmod(F.col("number") + step, F.lit(max(n, 1))))
+    other = numbered.select(F.col("number").alias("far"), F.col(label).alias("__fc"), F.col("size").alias("__fs"))
+    mine = mine.join(broadcast_small(other, n), "far")
     want = mine.select(
         id_,
         label,
-        F.explode(F.array(F.struct(F.lit(1).alias("target"), own["c"].alias("c"), (F.pmod(F.col("rank"), own["size"]) + 1).alias("k")), F.struct(F.lit(0).alias("target"), far["c"].alias("c"), (F.pmod(F.col("rank") - 1, far["size"]) + 1).alias("k")))).alias("w"),
+        F.explode(F.array(F.struct(F.lit(1).alias("target"), F.col(label).alias("c"), (F.pmod(F.col("rank"), F.col("size")) + 1).alias("k")), F.struct(F.lit(0).alias("target"), F.col("__fc").alias("c"), (F.pmod(F.col("rank") - 1, F.col("__fs")) + 1).alias("k")))).alias("w"),
     )
     found = r.select(F.col(label).alias("__c"), F.col("rank").alias("__k"), F.col(id_).alias("other"))
     return want.join(found, (F.col("w.c") == F.col("__c")) & (F.col("w.k") == F.col("__k"))).select(id_, label, "other", F.col("w.target").alias("target"))
@@ -90,9 +96,9 @@ def contrastive_pairs(df: DataFrame, id_: str, label: str, seed: int) -> DataFra
 
 def categorical(df: DataFrame, id_: str, weights: DataFrame, label: str, weight: str, seed: int) -> DataFrame:
     """(id, label): a class drawn for each row by weight; the uniform number comes from the id. ``weights`` is a table of classes."""
-    total = F.sum(weight).over(Window.partitionBy(F.lit(1)))
-    upto = F.sum(weight).over(Window.partitionBy(F.lit(1)).orderBy(label))
-    bands = F.broadcast(weights.select(F.col(label).alias(label), ((upto - F.col(weight)) / total).alias("lo"), (upto / total).alias("hi")))
+    total, n = weights.agg(F.sum(weight), F.count(F.lit(1))).first()
+    upto = number_rows(weights.select(label, weight), [label], weight=weight)
+    bands = broadcast_small(upto.select(label, ((F.col("upto") - F.col(weight)) / total).alias("lo"), (F.col("upto") / total).alias("hi")), n)
     u = F.conv(F.substring(md5_key(F.col(id_), seed), 1, 8), 16, 10).cast("double") / 2**32
     return df.select(id_, u.alias("u")).join(bands, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(id_, label)
 
@@ -104,7 +110,7 @@ def epochs(df: DataFrame, id_: str, by: str, times: int, seed: int) -> DataFrame
     return r.select(by, "epoch", (F.col("rank") - 1).alias("position"), id_)
 
 
-def minibatches(df: DataFrame, order: str, size: int, kept: Column, width: int = 65_536) -> DataFrame:
+def minibatches(df: DataFrame, order: str, size: int, kept: Column) -> DataFrame:
     """(batch, n, kept): rows in batches of ``size`` by order; null samples are dropped after batching, so batches can be short."""
-    p = positions(df, order, width)
+    p = positions(df, [order])
     return p.groupBy(F.floor(F.col("position") / size).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"))

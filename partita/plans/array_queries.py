@@ -195,7 +195,7 @@ def kfold(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= 9 AND (i - 9) % 10 = 0")
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth document from the tenth on."""
-    return P.positions(table(spark, d, "documents").select("doc_id"), "doc_id", 65_536).where("position >= 9 and (position - 9) % 10 = 0").select("doc_id")
+    return P.positions(table(spark, d, "documents").select("doc_id"), ["doc_id"]).where("position >= 9 and (position - 9) % 10 = 0").select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {_md5('doc_id', chr(39) + '3' + chr(39))}, doc_id LIMIT 25")

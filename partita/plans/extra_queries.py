@@ -51,17 +51,19 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chord_frames").where("time_point is not null").select("key", "frame", F.round(F.col("time_point") * 1000).cast("bigint").alias("t")).distinct()
 
 
-@query(f"""WITH {_ANN}, one AS (SELECT key, s, max(struct_pack(e := e, label := label)) AS m FROM ms WHERE e > s GROUP BY key, s)
-SELECT pt.key, pt.frame, pt.t, CASE WHEN pt.t < one.m.e THEN one.m.label ELSE 'N' END AS label FROM pt ASOF LEFT JOIN one ON pt.key = one.key AND pt.t >= one.s""")
+def _holding(name: str, condition: str) -> str:
+    """The interval begun last (then the longest, then the larger label) of those that hold a point, as a range join."""
+    return f"""{name} AS (SELECT pt.key, pt.frame, pt.t, coalesce(o.label, 'N') AS l FROM pt LEFT JOIN (SELECT * FROM ms WHERE e > s AND {condition}) o ON pt.key = o.key AND pt.t >= o.s AND pt.t < o.e
+QUALIFY row_number() OVER (PARTITION BY pt.key, pt.frame, pt.t ORDER BY o.s DESC, o.e DESC, o.label DESC) = 1)"""
+
+
+@query(f"WITH {_ANN}, {_holding('h', 'true')} SELECT key, frame, t, l AS label FROM h")
 def import_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every frame with the label of the annotation interval begun last of those that hold it, N where none does."""
     return I.held_label(_points(spark, d), _annotation(spark, d, "key"), "key", "t", 60_000)
 
 
-@query(f"""WITH {_ANN}, one AS (SELECT key, annotator, s, max(struct_pack(e := e, label := label)) AS m FROM ms WHERE e > s GROUP BY key, annotator, s),
-a AS (SELECT pt.key, pt.frame, pt.t, CASE WHEN pt.t < o.m.e THEN o.m.label ELSE 'N' END AS l FROM pt ASOF LEFT JOIN (SELECT * FROM one WHERE annotator = 'ann_a') o ON pt.key = o.key AND pt.t >= o.s),
-b AS (SELECT pt.key, pt.frame, pt.t, CASE WHEN pt.t < o.m.e THEN o.m.label ELSE 'N' END AS l FROM pt ASOF LEFT JOIN (SELECT * FROM one WHERE annotator = 'ann_b') o ON pt.key = o.key AND pt.t >= o.s)
-SELECT key, frame, t, a.l AS first, b.l AS second FROM a JOIN b USING (key, frame, t)""")
+@query(f"""WITH {_ANN}, {_holding('a', "annotator = 'ann_a'")}, {_holding('b', "annotator = 'ann_b'")} SELECT key, frame, t, a.l AS first, b.l AS second FROM a JOIN b USING (key, frame, t)""")
 def import_two_annotators(spark: SparkSession, d: str) -> DataFrame:
     """Every frame with the labels of two annotators side by side."""
     ann = _annotation(spark, d, "key", "annotator")
@@ -149,7 +151,7 @@ def precision_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {FRAMES}, q AS (SELECT vec_id, x FROM fr WHERE vec_id % 20 = 0),
-nn AS (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.x, b.x), 9), b.vec_id) AS rank FROM q a JOIN q b ON a.vec_id <> b.vec_id),
+nn AS (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.x, b.x), 9), b.vec_id) AS rank FROM fr a JOIN fr b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.x, b.x), 9), b.vec_id) <= 3),
 w AS (SELECT vec_id AS start, 0 AS step, vec_id AS node FROM q UNION ALL SELECT w.start, w.step + 1, nn.neighbour FROM w JOIN nn ON nn.vec_id = w.node AND nn.rank = CAST('0x' || substr(md5(CAST(w.start AS VARCHAR) || '|' || CAST(w.step AS VARCHAR) || '|2'), 1, 8) AS BIGINT) % 3 + 1 WHERE w.step < 6)
 SELECT start, CAST(step AS INT) AS step, node FROM w""")
 def neighbour_walks(spark: SparkSession, d: str) -> DataFrame:

@@ -74,7 +74,7 @@ def transpose_pair(spark: SparkSession, d: str) -> DataFrame:
 
 _BIG = f"""WITH {STEPS}, p AS (SELECT lag(idx) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS a, idx AS b FROM st),
 q AS (SELECT a, b, CASE WHEN a IS NULL THEN NULL WHEN a = 156 OR b = 156 THEN a ELSE a // 12 * 12 + ((a - b % 12) % 12 + 12) % 12 END AS ra, CASE WHEN b = 156 THEN 156 ELSE b // 12 * 12 END AS rb FROM p),
-lex AS (SELECT ra, rb, row_number() OVER (ORDER BY count(*) DESC, ra NULLS FIRST, rb) - 1 AS i FROM q GROUP BY ra, rb ORDER BY count(*) DESC, ra NULLS FIRST, rb LIMIT 200)"""
+lex AS (SELECT ra, rb, row_number() OVER (ORDER BY count(*) DESC, ra NULLS FIRST, rb) - 1 AS i FROM q GROUP BY ra, rb ORDER BY count(*) DESC, ra NULLS FIRST, rb LIMIT 834)"""
 
 
 @query(_BIG + ", n AS (SELECT count(*) AS n FROM lex) SELECT q.a, q.b, CAST(CASE WHEN lex.i IS NULL THEN NULL ELSE n.n * CASE WHEN q.b = 156 THEN 0 ELSE q.b % 12 END + lex.i END AS BIGINT) AS state, count(*) AS lines FROM q CROSS JOIN n LEFT JOIN lex ON q.ra IS NOT DISTINCT FROM lex.ra AND q.rb = lex.rb GROUP BY ALL")

@@ -69,7 +69,7 @@ sc AS (SELECT user_id, ref, est, micros, m.metric AS metric, m.score AS score FR
 @query(_SCORED + """, tr AS (SELECT user_id, metric, CAST(sum(CASE WHEN score >= 0 THEN score * micros ELSE 0 END) AS DOUBLE) AS hit, CAST(sum(CASE WHEN score >= 0 THEN micros ELSE 0 END) AS DOUBLE) AS sup FROM sc GROUP BY ALL)
 SELECT metric, round(avg(CASE WHEN sup > 0 THEN hit / sup ELSE 0 END), 9) AS macro, round(sum(hit) / sum(sup), 9) AS micro FROM tr GROUP BY metric""")
 def score_micro_macro(spark: SparkSession, d: str) -> DataFrame:
-    t = E.tally(E.track_scores(E.with_scores(_aligned(spark, d)), "user_id", "micros"))
+    t = E.tally(E.track_scores(E.pooled_scores(_aligned(spark, d), "user_id", "micros"), "user_id", "micros"))
     return t.select("metric", F.round("macro", 9).alias("macro"), F.round("micro", 9).alias("micro"))
 
 
@@ -79,7 +79,7 @@ _REL = f""", rl AS (SELECT CASE WHEN ref = 156 THEN 156 ELSE ref // 12 * 12 END
 @query(_SCORED + _REL + " SELECT metric, CAST(ref AS INT) AS ref, CAST(est AS INT) AS est, CAST(sum(score * micros) AS BIGINT) AS count, CAST(sum(micros) AS BIGINT) AS support FROM rl WHERE score >= 0 GROUP BY metric, ref, est")
 def label_confusion(spark: SparkSession, d: str) -> DataFrame:
     """Agreement per pair of classes, both seen from the reference's root."""
-    s = E.with_scores(_aligned(spark, d))
+    s = E.pooled_scores(_aligned(spark, d), "user_id", "micros")
     s = s.withColumns({"est": V.relative_class(F.col("ref"), F.col("est")), "ref": V.relative_class(F.col("ref"), F.col("ref"))})
     return E.label_counts(s, "ref", "est", "micros")
 
@@ -100,7 +100,7 @@ _FOLD = _SCORED + ", fs AS (SELECT user_id % 5 AS fold, metric, CAST(sum(score *
 
 
 def _fold_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = E.with_scores(_aligned(spark, d)).where("score >= 0")
+    s = E.pooled_scores(_aligned(spark, d), "user_id", "micros").where("score >= 0")
     return s.groupBy(F.pmod("user_id", F.lit(5)).alias("fold"), "metric").agg((F.sum(F.col("score") * F.col("micros")) / F.sum("micros")).alias("score"))
 
 

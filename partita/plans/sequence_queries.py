@@ -89,8 +89,7 @@ t AS (SELECT CAST(q * 12 + r AS INT) AS from_class, CAST(CASE WHEN rel = 156 THE
 SELECT from_class, to_class, n FROM t UNION ALL SELECT 156, to_class, n FROM t WHERE from_class = 155""")
 def transitions_rotated(spark: SparkSession, d: str) -> DataFrame:
     """Class transitions counted relative to the root of the first class, turned to all roots; the row of N repeats row 155."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    p = chord_steps(spark, d).withColumn("b", F.lead("idx").over(w)).where("b is not null")
+    p = S.next_start(chord_steps(spark, d), "l_orderkey", ["l_linenumber", "l_partkey"], "idx", "b").where("b is not null")
     c = p.groupBy(F.floor(F.col("idx") / 12).cast("int").alias("q"), V.relative_class(F.col("idx"), F.col("b")).alias("rel")).agg(F.count(F.lit(1)).alias("n"))
     t = c.where("q < 13").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(11))))
     t = t.select((F.col("q") * 12 + F.col("r")).alias("from_class"), F.when(F.col("rel") == 156, 156).otherwise(V.add_mod(F.col("rel"), F.col("r"))).cast("int").alias("to_class"), "n")
@@ -120,9 +119,9 @@ def bin_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {RUNS}, r AS (SELECT user_id, min(i) AS i, count(*) AS n FROM num GROUP BY user_id, label, g) SELECT user_id, CAST(row_number() OVER w AS INT) AS boundary, CAST(sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)")
 def run_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative sums of run lengths."""
-    w = Window.partitionBy("user_id").orderBy("start_idx")
-    r = S.run_length(events(spark, d), "user_id", ORDER, "label")
-    return r.select("user_id", F.row_number().over(w).alias("boundary"), F.sum("run_len").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("position"))
+    r = S.with_positions(S.run_length(events(spark, d), "user_id", ORDER, "label"), "user_id", ["start_idx"])
+    # a run ends where its elements do, so the cumulative sum needs no window
+    return r.select("user_id", (F.col("__at") + 1).cast("int").alias("boundary"), (F.col("start_idx") + F.col("run_len")).alias("position"))
 
 
 @query(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev),
@@ -149,6 +148,7 @@ def fold_frames(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, CAST(i AS INT) AS i, CAST(sum(v) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS walk, round(sum(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5, 6) AS smooth FROM n""")
 def walk_smooth(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative steps, and a causal moving mean of width five with zeros before the start."""
-    w = Window.partitionBy("user_id").orderBy(*ORDER)
-    v = F.round(F.col("value") * 100)
-    return events(spark, d).select("user_id", F.row_number().over(w).alias("i"), F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("walk"), F.round(F.sum(v).over(w.rowsBetween(-4, 0)) / 5, 6).alias("smooth"))
+    e = events(spark, d).withColumn("v", F.round(F.col("value") * 100)).select("user_id", *ORDER, "v")
+    e = S.running_sum(e, "user_id", ORDER, F.col("v"), "walk")
+    e = S.with_positions(S.moving_sum(e, "user_id", ORDER, F.col("v"), 4, 0, "near"), "user_id", ORDER)
+    return e.select("user_id", (F.col("__at") + 1).cast("int").alias("i"), "walk", F.round(F.col("near") / 5, 6).alias("smooth"))

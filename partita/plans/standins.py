@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partita.operators.sequences import next_start
 from partita.session import table
 
 
+def _micros(ts: str) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.expr(f"unix_date(cast({ts} as date)) * 86400000000 + hour({ts}) * 3600000000 + minute({ts}) * 60000000L + cast(extract(second from {ts}) * 1000000 as bigint)")
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, event_id, us, label): a label sequence per user, ordered by (us, event_id); us in whole microseconds."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type").alias("label"), "value")
+    return table(spark, d, "events").select("user_id", "event_id", _micros("ts").alias("us"), F.col("event_type").alias("label"), "value")
 
 
 def intervals(df: DataFrame) -> DataFrame:
     """(user_id, event_id, s, e, label): from an event to the user's next; the last has no end and is dropped."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    return df.withColumn("e", F.lead("us").over(w)).where("e is not null").select("user_id", "event_id", F.col("us").alias("s"), "e", "label")
+    return next_start(df, "user_id", ["us", "event_id"], "us").where("e is not null").select("user_id", "event_id", F.col("us").alias("s"), "e", "label")
 
 
 def ref_est(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

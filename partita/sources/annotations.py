@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.functions.paths import file_base
+from partita.operators.ranking import number_rows
 from partita.operators.sequences import compress_intervals
+from partita.session import broadcast_small, cut_lineage
 
 INTERVALS = "path string, position bigint, start double, end double, label string"
 
@@ -136,9 +138,10 @@ def run_parameters(path: Column) -> Column:
 
 def checkpoint_sweep(checkpoints: DataFrame, keys: DataFrame, start: int, stride: int) -> DataFrame:
     """Every key with every stride-th checkpoint by name order. Checkpoints are a list of files of one training run."""
-    w = Window.partitionBy(F.lit(1)).orderBy("path")
-    chosen = checkpoints.select("path").distinct().withColumn("__i", F.row_number().over(w) - 1).where((F.col("__i") >= start) & ((F.col("__i") - start) % stride == 0)).select(F.col("path").alias("checkpoint"))
-    return keys.join(F.broadcast(chosen)) if chosen.limit(10_001).count() <= 10_000 else keys.join(chosen)
+    chosen = number_rows(checkpoints.select("path").distinct(), ["path"]).where((F.col("number") >= start) & ((F.col("number") - start) % stride == 0))
+    chosen = cut_lineage(chosen.select(F.col("path").alias("checkpoint")))
+    # each key once per chosen checkpoint is the result asked for
+    return keys.crossJoin(broadcast_small(chosen, chosen.count()))
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
