@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.operators.sequences import B, block_runs
+
 #: Positions of an entity that are handled together; a block holds at most so many distinct positions.
 BLOCK = 8192
 
@@ -18,33 +20,14 @@ def collapse_runs(rows: DataFrame, key: str, pos: str, value: str, newest: str,
     Rows with a null position have no place in the order and are left out; a null key is a key.
     Ties of ``newest`` are broken by the time, then the value.
 
-    Within (key, block) the row number minus the row number per value is constant exactly along a
-    run. Runs that touch a block's edge are joined across blocks by the same subtraction over the
-    edge runs alone, two at most per block, so no task holds a whole key.
+    Positions are cut into blocks of ``block``; the core's block_runs() finds the runs inside them by row number
+    minus row number per value, and joins those that touch a block's edge, so no task holds a whole key.
     """
     t = F.col(time).cast("double") if time else F.lit(None).cast("double")
     blocks = rows.select(
-        F.col(key).alias("key"), F.floor(F.col(pos) / block).cast("bigint").alias("block"), F.col(pos).alias("pos"), F.col(value).alias("value"), t.alias("t"), F.col(newest).alias("newest")
+        F.col(key).alias("key"), F.floor(F.col(pos) / block).cast("bigint").alias(B), F.col(pos).alias("pos"), F.col(value).alias("value"), t.alias("t"), F.col(newest).alias("newest")
     ).where(F.col("pos").isNotNull())
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(n, "key", "block")
-    order = Window.partitionBy("key", "block").orderBy("pos", F.desc("newest"), "t", "value")
+    order = Window.partitionBy("key", B).orderBy("pos", F.desc("newest"), "t", "value")
     kept = blocks.withColumn("before", F.lag("pos").over(order)).where((F.col("before").isNull() | (F.col("before") != F.col("pos"))) & F.col("value").isNotNull())
-    by_pos = Window.partitionBy("key", "block").orderBy("pos")
-    by_value = Window.partitionBy("key", "block", "value").orderBy("pos")
-    numbered = kept.withColumn("rn", F.row_number().over(by_pos)).withColumn("island", F.col("rn") - F.row_number().over(by_value))
-    runs = numbered.groupBy("key", "block", "value", "island").agg(
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"), F.min("t").alias("start_time"), F.max("t").alias("end_time"), F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn")
-    )
-    in_block = Window.partitionBy("key", "block")
-    runs = runs.withColumn("is_edge", (F.col("first_rn") == 1) | (F.col("last_rn") == F.max("last_rn").over(in_block)))
-    # a run inside its block is whole; edge runs of a key share one group, in which the last of a block and the
-    # first of the next are neighbours (two edge runs of one block never join)
-    runs = runs.withColumn("group", F.when(F.col("is_edge"), F.lit(-1).cast("bigint")).otherwise(F.col("block") * 2))
-    w = Window.partitionBy("key", "group").orderBy("first_pos")
-    starts = F.when(~F.col("is_edge") | (F.lag("block").over(w) == F.col("block")) | F.lag("value").over(w).isNull() | (F.lag("value").over(w) != F.col("value")), 1).otherwise(0)
-    joined = runs.withColumn("start", starts).withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = joined.groupBy("key", "group", "run").agg(
-        F.first("value").alias("value"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("n"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")
-    )
-    return merged.select("key", "value", "first_pos", "last_pos", "n", "start_time", "end_time")
+    runs = block_runs(kept, "key", "value", ["pos"], {"first_pos": F.col("pos")}, {"last_pos": F.col("pos")}, {"start_time": F.col("t")}, {"end_time": F.col("t")}, index=False)
+    return runs.select("key", "value", "first_pos", "last_pos", F.col("run_len").alias("n"), "start_time", "end_time")
