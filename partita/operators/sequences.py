@@ -17,10 +17,10 @@ BLOCK_ROWS = 100_000
 B = "__b"
 
 
-def with_blocks(df: DataFrame, key: str, order: list[str], rows: int | None = None) -> DataFrame:
+def with_blocks(df: DataFrame, key: str, order: list[str], rows: int | None = None) -> tuple[DataFrame, bool]:
     """Adds a block number that never falls along the order: 0, or for keys of more than ``rows`` rows an even cut of the first order column.
 
-    The first order column is a number or a time. Long keys are found with a partial count; there are at most
+    Also whether every key is one block; then plain windows do, and nothing has to be joined across blocks. The first order column is a number or a time. Long keys are found with a partial count; there are at most
     total / ``rows`` of them. A key that holds one value of the first column over and over is one block.
     """
     rows = rows or BLOCK_ROWS
@@ -28,16 +28,19 @@ def with_blocks(df: DataFrame, key: str, order: list[str], rows: int | None = No
     long = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__m"), F.min(at).alias("__lo"), F.max(at).alias("__hi")).where(F.col("__m") > rows)
     n = long.count()
     if not n:
-        return df.withColumn(B, F.lit(0).cast("bigint"))
+        return df.withColumn(B, F.lit(0).cast("bigint")), True
     width = F.greatest((F.col("__hi") - F.col("__lo")) * rows / F.col("__m"), F.lit(1e-9))
     out = df.join(broadcast_small(long, n), F.col(key).eqNullSafe(F.col("__k")), "left")
     # null orders come first
-    return out.withColumn(B, F.when(F.col("__m").isNull(), 0).when(at.isNull(), -1).otherwise(F.floor((at - F.col("__lo")) / width)).cast("bigint")).drop("__k", "__m", "__lo", "__hi")
+    return out.withColumn(B, F.when(F.col("__m").isNull(), 0).when(at.isNull(), -1).otherwise(F.floor((at - F.col("__lo")) / width)).cast("bigint")).drop("__k", "__m", "__lo", "__hi"), False
 
 
 def with_positions(df: DataFrame, key: str, order: list[str], rows: int | None = None) -> DataFrame:
     """Adds ``__at``, the position in the key from 0, and ``__n``, the key's number of rows."""
-    b = with_blocks(df, key, order, rows)
+    b, whole = with_blocks(df, key, order, rows)
+    if whole:
+        at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+        return b.drop(B).withColumns({"__at": at.cast("bigint"), "__n": F.count(F.lit(1)).over(Window.partitionBy(key))})
     per = b.groupBy(key, B).agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy(key).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(key, B, F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__off"), F.sum("__c").over(Window.partitionBy(key)).alias("__n"))
@@ -59,7 +62,10 @@ def with_halo(df: DataFrame, key: str, order: list[str], before: int, after: int
 
 def with_neighbours(df: DataFrame, key: str, order: list[str], columns: list[str], rows: int | None = None) -> DataFrame:
     """Adds ``__prev`` and ``__next``, structs of the given columns in the rows before and after; null at a key's ends."""
-    b = with_blocks(df, key, order, rows).withColumn("__s", F.struct(*columns))
+    b, whole = with_blocks(df.withColumn("__s", F.struct(*columns)), key, order, rows)
+    if whole:
+        w = Window.partitionBy(key).orderBy(*order)
+        return b.withColumns({"__prev": F.lag("__s").over(w), "__next": F.lead("__s").over(w)}).drop("__s", B)
     at = F.struct(*order)
     ends = b.groupBy(key, B).agg(F.min_by("__s", at).alias("__first"), F.max_by("__s", at).alias("__last"))
     w = Window.partitionBy(key).orderBy(B)
@@ -69,12 +75,12 @@ def with_neighbours(df: DataFrame, key: str, order: list[str], columns: list[str
     return near.withColumns({"__prev": F.coalesce("__pi", "__pb"), "__next": F.coalesce("__ni", "__nb")}).drop("__s", "__pi", "__ni", "__pb", "__nb", B)
 
 
-def block_runs(blocks: DataFrame, key: str, value: str, order: list[str], first: dict[str, Column] | None = None, last: dict[str, Column] | None = None, least: dict[str, Column] | None = None, most: dict[str, Column] | None = None, index: bool = True) -> DataFrame:
+def block_runs(blocks: DataFrame, key: str, value: str, order: list[str], first: dict[str, Column] | None = None, last: dict[str, Column] | None = None, least: dict[str, Column] | None = None, most: dict[str, Column] | None = None, index: bool = True, whole: bool = False) -> DataFrame:
     """One row per maximal run of equal values (null equals null) of a key: (key, value, start_idx, run_len, ...).
 
     ``blocks`` has a block number ``__b`` that follows the order. ``first`` and ``last`` name what to take
     from a run's first and last row, ``least`` and ``most`` smallest and largest values over it. Without
-    ``index`` start_idx is left out, which saves a join.
+    ``index`` start_idx is left out, which saves a join. ``whole`` says that every key is one block.
     Within (key, block) the row number minus the row number per value is constant exactly along a run.
     Runs that touch a block's edge are joined across blocks in a table of edge runs alone, two at most per block.
     """
@@ -86,6 +92,8 @@ def block_runs(blocks: DataFrame, key: str, value: str, order: list[str], first:
         *[F.min_by(c, "__rn").alias(n) for n, c in first.items()], *[F.max_by(c, "__rn").alias(n) for n, c in last.items()],
         *[F.min(c).alias(n) for n, c in least.items()], *[F.max(c).alias(n) for n, c in most.items()],
     )
+    if whole:
+        return runs.withColumns({"start_idx": (F.col("__lo") - 1).cast("bigint"), "run_len": F.col("__c")}).drop(B, "__island", "__c", "__lo", "__hi", *([] if index else ["start_idx"]))
     edge = (F.col("__lo") == 1) | (F.col("__hi") == F.max("__hi").over(Window.partitionBy(key, B)))
     # a run inside its block is whole; edge runs of a key share a group, in which the last of a block and the first of the
     # next are neighbours (two edge runs of one block never join)
@@ -106,7 +114,8 @@ def block_runs(blocks: DataFrame, key: str, value: str, order: list[str], first:
 
 def run_length(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """(key, value, start_idx, run_len) of runs of equal values; null equals null."""
-    return block_runs(with_blocks(df, key, order), key, value, order).withColumn("start_idx", F.col("start_idx").cast("int"))
+    b, whole = with_blocks(df, key, order)
+    return block_runs(b, key, value, order, whole=whole).withColumn("start_idx", F.col("start_idx").cast("int"))
 
 
 def run_decode(runs: DataFrame, start: str = "start_idx", length: str = "run_len") -> DataFrame:
@@ -118,13 +127,15 @@ def runs_to_intervals(df: DataFrame, key: str, order: list[str], value: str, tim
     """(key, value, start, end): a run ends where the next begins; the last one ends at the last time, so it can be empty."""
     near = with_neighbours(df.select(*dict.fromkeys([key, *order, value, time])), key, order, [time])
     near = near.withColumn("__end", F.when(F.col("__next").isNull(), F.col(time)).otherwise(F.col("__next")[time])).drop("__prev", "__next")
-    runs = block_runs(with_blocks(near, key, order), key, value, order, {"start": F.col(time)}, {"end": F.col("__end")}, index=False)
+    b, whole = with_blocks(near, key, order)
+    runs = block_runs(b, key, value, order, {"start": F.col(time)}, {"end": F.col("__end")}, index=False, whole=whole)
     return runs.select(key, value, "start", "end")
 
 
 def compress_intervals(df: DataFrame, key: str, order: list[str], value: str, start: str, end: str) -> DataFrame:
     """(key, value, start, end) of runs of intervals with one label; gaps inside a run are swallowed."""
-    runs = block_runs(with_blocks(df, key, order), key, value, order, {"__from": F.col(start)}, {"__to": F.col(end)}, index=False)
+    b, whole = with_blocks(df, key, order)
+    runs = block_runs(b, key, value, order, {"__from": F.col(start)}, {"__to": F.col(end)}, index=False, whole=whole)
     return runs.select(key, value, F.col("__from").alias("start"), F.col("__to").alias("end"))
 
 
@@ -157,7 +168,9 @@ def tiles(df: DataFrame, key: str, order: list[str], bins: str, length: int, row
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: Column, out: str, rows: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` up to each row: sums inside blocks plus the sums of the blocks before."""
-    b = with_blocks(df, key, order, rows).withColumn("__v", value)
+    b, whole = with_blocks(df.withColumn("__v", value), key, order, rows)
+    if whole:
+        return b.withColumn(out, F.sum("__v").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("__v", B)
     per = b.groupBy(key, B).agg(F.sum("__v").alias("__t"))
     upto = Window.partitionBy(key).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(key, B, F.coalesce(F.sum("__t").over(upto), F.lit(0)).alias("__t"))
