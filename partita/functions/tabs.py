@@ -53,6 +53,19 @@ def shift_frets(frets: Column, by: Column, max_frets: int) -> Column:
     return F.when((F.size(sounding) > 0) & (F.array_min(sounding) > 0) & (low >= 1) & (high <= max_frets), moved).otherwise(frets)
 
 
+def shift_range(frets: Column, max_frets: int) -> tuple[Column, Column]:
+    """(least, most) frets by which all strings can move and stay within 1..max_frets; (0, 0) if a string is open or none sounds."""
+    sounding = F.filter(frets, lambda f: f >= 0)
+    free = (F.size(sounding) > 0) & (F.array_min(sounding) > 0) & (F.array_max(sounding) <= max_frets)
+    return F.when(free, 1 - F.array_min(sounding)).otherwise(0), F.when(free, max_frets - F.array_max(sounding)).otherwise(0)
+
+
+def with_voicing(df: DataFrame, label: str, voicings: DataFrame, n: int) -> DataFrame:
+    """Adds tab, frets and fret targets of each row's label from a table (label, tab); rows without a voicing are dropped."""
+    joined = df.join(voicings.select(F.col("label").alias("__l"), "tab"), F.col(label) == F.col("__l")).drop("__l").withColumn("frets", decode_tab(F.col("tab")))
+    return joined.withColumn("targets", fret_targets(F.col("frets"), n))
+
+
 def chroma_tonnetz(bits: Column) -> Column:
     """Six tonnetz coordinates of an array of twelve numbers, divided by their sum (or 1)."""
     total = F.aggregate(bits, F.lit(0.0), lambda a, x: a + x)

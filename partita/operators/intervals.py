@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.operators.ranking import carry_last
+from partita.operators.ranking import carry_last, null_safe_join
 
 
 def _bucketed(df: DataFrame, width: int) -> DataFrame:
@@ -99,12 +99,15 @@ def nearest_value(queries: DataFrame, pool: DataFrame, query_id: str, query: str
 
 
 def segment_pool(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Mean, median and largest value of each segment."""
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"))
+    """Mean, median, largest and most frequent value (of equals the smallest; nulls do not count) of each segment."""
+    rows = df.select(*keys, value.alias("__v"))
+    counts = rows.where("__v is not null").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    mode = counts.groupBy(*keys).agg(F.min_by("__v", F.struct(-F.col("__n"), F.col("__v"))).alias("mode"))
+    return null_safe_join(rows.groupBy(*keys).agg(F.avg("__v").alias("mean"), F.median("__v").alias("median"), F.max("__v").alias("max")), mode, keys, "left")
 
 
 def boundary_pool(df: DataFrame, edges: DataFrame, key: str, index: str, value: str) -> DataFrame:
-    """(key, segment, mean, median, max) between successive edges; equal edges take the single value at that edge.
+    """(key, segment, mean, median, max, mode) between successive edges; equal edges take the single value at that edge.
 
     ``edges(key, segment, lo, hi)`` are positions, lo <= hi; decreasing edges raise.
     """
@@ -112,6 +115,3 @@ def boundary_pool(df: DataFrame, edges: DataFrame, key: str, index: str, value:
     long = checked.select(key, "segment", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias(index))
     return segment_pool(long.join(df.select(key, index, value), [key, index]), [key, "segment"], F.col(value))
 
-
-def window_rank(df: DataFrame, by: list[str], order: list[Column | str], out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,8 +57,15 @@ OPS: dict[str, Callable[[np.ndarray, dict], np.ndarray]] = {
     "negate": lambda x, p: -x,
     "scale": lambda x, p: x * p["by"],
     "transpose": lambda x, p: x.transpose(0, *p["axes"]),
-    # twelve roots of every quality by one 1x1 map each, and one unit for no chord that reads the whole
-    "chord_head": lambda x, p: np.concatenate([np.einsum("ncrb,qc->nqrb", x, p["w"]).mean(axis=2).reshape(len(x), -1) + p["b"], x.reshape(len(x), -1) @ p["nc"]], axis=1),
+    "multiply": lambda x, p: x * p["by"],
+    "add": lambda x, p: x + p["by"],
+    "sqrt": lambda x, p: np.sqrt(x),
+    "mean": lambda x, p: x.mean(axis=p["axis"]),
+    "product": lambda x, p: x.prod(axis=p["axis"]),
+    "concatenate": lambda x, p: np.concatenate([forward(b, x).reshape(len(x), -1) for b in p["branches"]], axis=1),
+    "stack": lambda x, p: np.stack([forward(b, x) for b in p["branches"]], axis=1),
+    # one 1x1 map over (maps, time, 12 roots) for each output map, mean over time
+    "map_1x1": lambda x, p: np.einsum("ncrb,qc->nqrb", x, p["w"]).mean(axis=2) + p["b"],
 }
 
 
@@ -77,44 +84,76 @@ SIZES = {"S": (4, 6, 8), "L": (20, 40, 80), "XL": (24, 48, 96), "XXL": (32, 64,
 FRETS = 9
 
 
-def chord_network(size: str = "S", frames: int = 20, bins: int = 252, seed: int = 0, head: str = "chords", prior: np.ndarray | None = None) -> list[Layer]:
-    """Three convolutions over (1, frames, bins) with 13, 37 and 33 bins and pooling by 3 after the first, then a head.
+def _convolutions(rng: np.random.Generator, maps: tuple[int, ...], frames: int, bins: int, heights: tuple[int, ...] = (3, 3, 3), roots: int | None = 12, channels: int = 1) -> tuple[list[list[Layer]], tuple[int, int, int]]:
+    """(blocks, (maps, frames, bins) at the end): three convolutions of 13, 37 and 33 bins, pooling by 3 after the first.
 
-    head: ``chords`` (13 qualities x 12 roots and no chord), ``dense`` (one 157-way softmax), ``chroma`` (twelve
-    sigmoids), ``frets`` (six softmaxes), ``rbf`` (softmax of minus the distance to the 157 fret templates).
+    From 252 bins they end at the twelve roots; from fewer, kernels are narrowed so that they end there too.
     """
-    rng = np.random.default_rng(seed)
-    out: list[Layer] = []
-    maps, width, t = 1, bins, frames
-    for k, w in zip(SIZES[size], (13, 37, 33), strict=True):
-        w = min(w, width)
-        h = min(3, t)
-        out += [("conv", {"w": _weights(rng, k, maps, h, w), "b": np.zeros(k)}), ("relu", {})]
-        maps, width, t = k, width - w + 1, t - h + 1
-        if w == 13:
-            out.append(("pool", {"shape": (1, 3)}))
+    blocks: list[list[Layer]] = []
+    c, t, width = channels, frames, bins
+    for k, w, h in zip(maps, (13, 37, 33), heights, strict=True):
+        w, h = min(w, width - roots + 1 if roots else width), min(h, t)
+        block: list[Layer] = [("conv", {"w": _weights(rng, k, c, h, w), "b": np.zeros(k)}), ("relu", {})]
+        c, t, width = k, t - h + 1, width - w + 1
+        if not blocks and width >= 3 * (roots or 1):
+            block.append(("pool", {"shape": (1, 3)}))
             width //= 3
+        blocks.append(block)
+    if roots and width != roots:
+        c_w = width - roots + 1
+        blocks.append([("conv", {"w": _weights(rng, c, c, 1, c_w), "b": np.zeros(c)}), ("relu", {})])
+        width = roots
+    return blocks, (c, t, width)
+
+
+def _chord_head(rng: np.random.Generator, main: list[Layer], maps: int, main_size: int, w: np.ndarray | None = None, side: list[Layer] | None = None, side_size: int = 0) -> list[Layer]:
+    """Thirteen 1x1 maps over the twelve roots after ``main``, and one unit for no chord that reads ``main``'s output, or that of ``side``."""
+    roots = [*main, ("map_1x1", {"w": _weights(rng, 13, maps) if w is None else w, "b": 0.0}), ("flatten", {})]
+    size = side_size or main_size
+    none = [*(main if side is None else side), ("dense", {"w": _weights(rng, size, 1), "b": np.zeros(1)})]
+    return [("concatenate", {"branches": [roots, none]}), ("softmax", {})]
+
+
+def chord_network(size: str = "S", frames: int = 20, bins: int = 252, seed: int = 0, head: str = "chords", prior: np.ndarray | None = None, early: bool = False, heights: tuple[int, ...] = (3, 3, 3)) -> list[Layer]:
+    """Three convolutions over (1, frames, bins), then a head.
+
+    head: ``chords`` (13 qualities x 12 roots by 1x1 maps and a unit for no chord; ``early``: that unit reads the first
+    layer), ``dense`` (one 157-way softmax), ``chroma`` (one 1x1 sigmoid map over the roots), ``frets`` (six softmaxes),
+    ``rbf`` (softmax of minus the distance to the 157 fret templates). ``prior`` weights the classes after the softmax.
+    """
+    rng = np.random.default_rng(seed)
+    blocks, (maps, t, width) = _convolutions(rng, SIZES[size], frames, bins, heights)
+    first, later = blocks[0], [x for b in blocks[1:] for x in b]
+    total = maps * t * width
     if head == "chords":
-        out.append(("dense", {"w": _weights(rng, maps * t * width, maps * 12), "b": np.zeros(maps * 12)}))
-        out += [("relu", {}), ("reshape", {"shape": (maps, 1, 12)}), ("chord_head", {"w": _weights(rng, 13, maps), "b": np.zeros(156), "nc": _weights(rng, maps * 12, 1)}), ("softmax", {})]
+        if early:
+            # what the first block leaves: its maps, frames and bins
+            c, h, w = first[0][1]["w"].shape[0], frames - first[0][1]["w"].shape[2] + 1, bins - first[0][1]["w"].shape[3] + 1
+            w = w // 3 if len(first) == 3 else w
+            out = [*first, *_chord_head(rng, later, maps, total, side=[("flatten", {})], side_size=c * h * w)]
+        else:
+            out = [*first, *later, *_chord_head(rng, [], maps, total)]
     elif head == "dense":
-        out += [("dense", {"w": _weights(rng, maps * t * width, 157), "b": np.zeros(157)}), ("softmax", {})]
+        out = [*first, *later, ("dense", {"w": _weights(rng, total, 157), "b": np.zeros(157)}), ("softmax", {})]
     elif head == "chroma":
-        out += [("dense", {"w": _weights(rng, maps * t * width, 12), "b": np.zeros(12)}), ("sigmoid", {})]
-    elif head == "frets":
-        out += [("dense", {"w": _weights(rng, maps * t * width, 6 * FRETS), "b": np.zeros(6 * FRETS)}), ("multisoftmax", {"heads": 6})]
-    elif head == "rbf":
-        out += [("dense", {"w": _weights(rng, maps * t * width, 6 * FRETS), "b": np.zeros(6 * FRETS)}), ("multisoftmax", {"heads": 6}), ("rbf", {"centres": rng.random((157, 6 * FRETS))}), ("negate", {}), ("softmax", {})]
+        out = [*first, *later, ("map_1x1", {"w": _weights(rng, 1, maps), "b": 0.0}), ("flatten", {}), ("sigmoid", {})]
+    elif head in ("frets", "rbf"):
+        out = [*first, *later, ("dense", {"w": _weights(rng, total, 6 * FRETS), "b": np.zeros(6 * FRETS)}), ("multisoftmax", {"heads": 6})]
+        if head == "rbf":
+            out += [("rbf", {"centres": rng.random((157, 6 * FRETS))}), ("negate", {}), ("softmax", {})]
     else:
         raise ValueError(head)
-    return [*out, ("scale", {"by": prior})] if prior is not None else out
+    return [*out, ("multiply", {"by": prior})] if prior is not None else out
 
 
 def template_network(frames: int = 8, bins: int = 252, seed: int = 0) -> list[Layer]:
-    """Ten maps of twelve roots read by a fixed head: the semitones 2 to 11 of the thirteen qualities."""
+    """Three convolutions to ten maps of the twelve roots, read by a fixed head: the semitones 2 to 11 of the thirteen qualities."""
     rng = np.random.default_rng(seed)
+    blocks, (maps, t, _) = _convolutions(rng, SIZES["S"], frames, bins)
     fixed = np.array([[float(c) for c in b[2:]] for b in QUALITIES.values()])
-    return [("flatten", {}), ("dense", {"w": _weights(rng, frames * bins, 120), "b": np.zeros(120)}), ("relu", {}), ("reshape", {"shape": (10, 1, 12)}), ("chord_head", {"w": fixed, "b": np.zeros(156), "nc": _weights(rng, 120, 1)}), ("softmax", {})]
+    h = min(2, t)
+    ten: list[Layer] = [("conv", {"w": _weights(rng, 10, maps, h, 1), "b": np.zeros(10)}), ("relu", {})]
+    return [*[x for b in blocks for x in b], *ten, *_chord_head(rng, [], 10, 10 * (t - h + 1) * 12, fixed)]
 
 
 def dense_network(frames: int = 8, bins: int = 252, hidden: int = 64, outputs: int = 157, seed: int = 0, final: str = "softmax") -> list[Layer]:
@@ -127,20 +166,74 @@ def dense_network(frames: int = 8, bins: int = 252, hidden: int = 64, outputs: i
     return [*out[:-1], (final, {})]
 
 
+def dense_chord_network(frames: int = 8, bins: int = 252, hidden: int = 64, maps: int = 8, seed: int = 0) -> list[Layer]:
+    """Three dense layers, the last as ``maps`` of twelve roots under a 13-map head; the unit for no chord reads the first layer."""
+    rng = np.random.default_rng(seed)
+    dense = lambda a, b: [("dense", {"w": _weights(rng, a, b), "b": np.zeros(b)}), ("relu", {})]
+    later = [*dense(hidden, hidden), *dense(hidden, maps * 12), ("reshape", {"shape": (maps, 1, 12)})]
+    return [("flatten", {}), *dense(frames * bins, hidden), *_chord_head(rng, later, maps, maps * 12, side=[("flatten", {})], side_size=hidden)]
+
+
+def margin_network(frames: int = 20, bins: int = 40, channels: int = 6, hidden: int = 1024, seed: int = 0) -> list[Layer]:
+    """(channels, frames, bins) through one hidden layer to a sigmoid per class; its loss is margin_loss()."""
+    rng = np.random.default_rng(seed)
+    n = channels * frames * bins
+    return [("flatten", {}), ("dense", {"w": _weights(rng, n, hidden), "b": np.zeros(hidden)}), ("relu", {}), ("dense", {"w": _weights(rng, hidden, 157), "b": np.zeros(157)}), ("sigmoid", {})]
+
+
 def embedding_network(frames: int = 20, bins: int = 192, dims: int = 3, seed: int = 0) -> list[Layer]:
-    """Log scaling, one hidden layer, a few linear outputs; twins share it."""
+    """Log scaling, three convolutions, a hidden layer, a few linear outputs; twins share it."""
     rng = np.random.default_rng(seed)
-    return [("log", {"scale": 1.0}), ("dense", {"w": _weights(rng, frames * bins, 64), "b": np.zeros(64)}), ("tanh", {}), ("dense", {"w": _weights(rng, 64, dims), "b": np.zeros(dims)})]
+    blocks, (maps, t, width) = _convolutions(rng, SIZES["S"], frames, bins, roots=None)
+    n = maps * t * width
+    return [("log", {"scale": 1.0}), *[x for b in blocks for x in b], ("dense", {"w": _weights(rng, n, 64), "b": np.zeros(64)}), ("tanh", {}), ("dense", {"w": _weights(rng, 64, dims), "b": np.zeros(dims)})]
+
+
+# losses, as columns of a row's output array
+
+
+def negative_log_likelihood(posterior: Column, idx: Column) -> Column:
+    """Minus the logarithm of the true class's output; null without a class."""
+    return -F.ln(F.get(posterior, idx))
+
+
+def squared_error(output: Column, target: Column) -> Column:
+    """Mean squared difference of two arrays of one length."""
+    parts = F.zip_with(output, target, lambda a, b: (a - b) * (a - b))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(output)
+
+
+def selected_error(output: Column, idx: Column, target: Column) -> Column:
+    """Squared difference of the chosen class's output and a number."""
+    d = F.get(output, idx) - target
+    return d * d
+
+
+def margin_loss(output: Column, idx: Column, target: Column) -> Column:
+    """selected_error() plus, for targets of 1, by how much other classes' outputs exceed the chosen one's."""
+    chosen = F.get(output, idx)
+    over = F.aggregate(F.transform(output, lambda x: F.greatest(x - chosen, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    return selected_error(output, idx, target) + target * over
+
+
+def template_loss(distances: Column, idx: Column, weight: Column | None = None) -> Column:
+    """Distance to the true class's template, times the class's weight if given."""
+    d = F.get(distances, idx)
+    return d if weight is None else d * weight
 
 
 #: Networks by name. Parameters are seeded; trained ones can be put in their place.
 MODELS: dict[str, Callable[..., list[Layer]]] = {
     **{f"chords_{s}": (lambda s: lambda **k: chord_network(s, **k))(s) for s in SIZES},
     "chords_dense_head": lambda **k: chord_network(head="dense", **k),
+    "chords_early_none": lambda **k: chord_network(early=True, **k),
+    "chords_octaves": lambda **k: [("reshape", {"shape": (1, k["frames"], k["bins"])}), *chord_network(early=True, heights=(3, 3, 4), **k)],
     "chords_templates": template_network,
     "chords_dense": dense_network,
+    "chords_dense_maps": dense_chord_network,
     "chroma": lambda **k: chord_network(head="chroma", **k),
     "classes_sigmoid": lambda **k: dense_network(final="sigmoid", **k),
+    "classes_margin": lambda **k: margin_network(channels=1, hidden=64, **k),
     "frets": lambda **k: chord_network(head="frets", **k),
     "frets_rbf": lambda **k: chord_network(head="rbf", **k),
     "frets_sigmoid": lambda **k: dense_network(outputs=6 * FRETS, final="sigmoid", **k),

@@ -34,18 +34,64 @@ def positions(df: DataFrame, order: list[str], out: str = "position", rows: int
     return null_safe_join(b.withColumn("__in", F.row_number().over(w)), off, ["__b"]).withColumn(out, (F.col("__off") + F.col("__in") - 1).cast("bigint")).drop("__in", "__off", "__b")
 
 
-def kfold(df: DataFrame, id_: str, folds: int, valid_ratio: float, seed: int) -> DataFrame:
-    """(fold, split, id): each item is tested in one fold; int(ratio * rest) random others validate, the remainder trains."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    r = ranked(df.select(id_), [], md5_key(F.col(id_), seed), id_).join(F.broadcast(n))  # one row
+def kfold(df: DataFrame, id_: str, folds: int, valid_ratio: float, seed: int, by: str | None = None) -> DataFrame:
+    """(fold, split, id): each item is tested in one fold; int(ratio * rest) random others validate, the remainder trains.
+
+    With ``by`` each of its values (a subset) is dealt to the folds on its own, and is in the result.
+    """
+    by_ = [by] if by else []
+    df = df.select(*by_, id_)
+    n = df.groupBy(*by_).agg(F.count(F.lit(1)).alias("n"))
+    r = ranked(df, by_, md5_key(F.col(id_), seed), id_)
+    r = null_safe_join(r, n, by_) if by else r.join(F.broadcast(n))  # one row
     tested = F.floor((F.col("rank") - 1) * folds / F.col("n")).cast("int")
     each = r.withColumn("own", tested).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    rest = ranked(each.where("own <> fold"), ["fold"], md5_key(F.col(id_), F.col("fold"), seed), id_, "pick")
+    rest = ranked(each.where("own <> fold"), [*by_, "fold"], md5_key(F.col(id_), F.col("fold"), seed), id_, "pick")
     # the test part of fold f begins and ends at these ranks
     size = F.ceil((F.col("fold") + 1) * F.col("n") / folds) - F.ceil(F.col("fold") * F.col("n") / folds)
     limit = F.floor((F.col("n") - size) * F.lit(valid_ratio))
-    split = rest.select("fold", F.when(F.col("pick") <= limit, "valid").otherwise("train").alias("split"), id_)
-    return split.unionByName(each.where("own = fold").select("fold", F.lit("test").alias("split"), id_))
+    split = rest.select(*by_, "fold", F.when(F.col("pick") <= limit, "valid").otherwise("train").alias("split"), id_)
+    return split.unionByName(each.where("own = fold").select(*by_, "fold", F.lit("test").alias("split"), id_))
+
+
+def working_set_stream(df: DataFrame, id_: str, by: str, working_set: int, visit: int, seed: int) -> DataFrame:
+    """(position, slot, by, id): a pool of ``working_set`` open keys take turns; after ``visit`` samples a key makes room for the next.
+
+    A key's rows come in random order and are cut into visits; visits are dealt to the slots round by round
+    (first all first visits, keys in random order), and in a round the slots give one sample each in turn. Every row comes once.
+    """
+    r = ranked(df.select(by, id_).where(F.col(by).isNotNull()), [by], md5_key(F.col(id_), seed), id_, "k").withColumns({"visit": F.floor((F.col("k") - 1) / visit), "draw": F.pmod(F.col("k") - 1, F.lit(visit))})
+    visits = r.select(by, "visit").distinct().withColumn("__o", md5_key(F.col(by), F.col("visit"), seed))
+    visits = number_rows(visits, ["visit", "__o", by], "q").drop("__o").withColumns({"round": F.floor(F.col("q") / working_set), "slot": F.pmod("q", F.lit(working_set))})
+    each = r.join(visits, [by, "visit"])
+    return number_rows(each, ["round", "draw", "slot"], "position").select("position", "slot", by, id_)
+
+
+def two_set_stream(a: DataFrame, b: DataFrame, id_: str, label: str, low: int, high: int, seed: int) -> DataFrame:
+    """uniform_classes() of two sets of rows, of the second only classes from ``low`` to ``high`` (without it): (position, source, id, label)."""
+    rows = a.select(F.lit(0).alias("source"), id_, label).unionByName(b.where((F.col(label) >= low) & (F.col(label) < high)).select(F.lit(1).alias("source"), id_, label))
+    rows = rows.withColumn("__id", F.struct("source", id_).cast("string"))
+    s = uniform_classes(rows.select("__id", label), "__id", label, seed)
+    return s.join(rows.select("__id", "source", id_), "__id").select("position", "source", id_, label)
+
+
+def scored_triples(df: DataFrame, id_: str, label: str, seed: int) -> DataFrame:
+    """(id, other, target): pairs from triples of two successive samples of a class (target 1) and one of the next class (target 0).
+
+    The samples of a class come in random order, two by two; the third is that of the next class in class order, with the
+    same number as the pair (modulo that class's size). A class's last odd sample is left out.
+    """
+    r = ranked(df.where(F.col(label).isNotNull()).select(id_, label), [label], md5_key(F.col(id_), seed), id_)
+    sizes = cut_lineage(number_rows(cut_lineage(r.groupBy(label).agg(F.count(F.lit(1)).alias("size"))), [label]))
+    n = sizes.count()
+    after = sizes.select(F.pmod(F.col("number") - 1, F.lit(max(n, 1))).alias("number"), F.col(label).alias("far"), F.col("size").alias("far_size"))
+    classes = sizes.select(label, "number").join(after, "number").drop("number")
+    first = r.where("rank % 2 = 1").withColumn("pair", F.floor(F.col("rank") / 2)).join(broadcast_small(classes, n), label)
+    second = r.where("rank % 2 = 0").select(label, (F.col("rank") / 2 - 1).cast("bigint").alias("pair"), F.col(id_).alias("second"))
+    both = first.join(second, [label, "pair"]).withColumn("__k", F.pmod("pair", F.col("far_size")) + 1)
+    third = r.select(F.col(label).alias("far"), F.col("rank").alias("__k"), F.col(id_).alias("third"))
+    each = both.join(third, ["far", "__k"])
+    return each.select(id_, F.explode(F.array(F.struct(F.col("second").alias("other"), F.lit(1).alias("target")), F.struct(F.col("third").alias("other"), F.lit(0).alias("target")))).alias("p")).select(id_, "p.*")
 
 
 def uniform_classes(df: DataFrame, id_: str, label: str, seed: int) -> DataFrame:

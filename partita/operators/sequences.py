@@ -185,6 +185,33 @@ def moving_sum(df: DataFrame, key: str, order: list[str], value: Column, before:
     return h.withColumn(out, F.sum(value).over(w)).where("__own").drop("__at", "__n", "__blk", "__own")
 
 
+def random_tiles(df: DataFrame, key: str, order: list[str], bins: str, label: str, length: int, seed: int, rows: int | None = None) -> DataFrame:
+    """(key, first, tile, label): one tile of ``length`` rows of each key from a seeded random start, with the label in its middle; X is null.
+
+    Keys shorter than the tile give none. Only the tile's rows are brought together.
+    """
+    p = with_positions(df, key, order, rows)
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"), F.col("__n") - length + 1)
+    p = p.where(F.col("__n") >= length).withColumn("first", start).where((F.col("__at") >= F.col("first")) & (F.col("__at") < F.col("first") + length))
+    middle = F.max(F.when(F.col("__at") == F.col("first") + length // 2, F.col(label)))
+    out = p.groupBy(key, "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col(bins).alias("x")))), lambda s: s["x"]).alias("tile"), middle.alias("label"))
+    return out.withColumn("label", F.when(F.col("label") != "X", F.col("label")))
+
+
+def random_walk(df: DataFrame, key: str, order: list[str], step: Column, width: int = 5, mean: Column | None = None, scale: Column | None = None, rows: int | None = None) -> DataFrame:
+    """Adds ``walk``: cumulative steps, smoothed by a causal mean of ``width`` with zeros before the start, as z-score of the key; scaled and moved if asked.
+
+    A walk that does not vary has z-score 0.
+    """
+    w = running_sum(df, key, order, step, "__walk", rows)
+    w = moving_sum(w, key, order, F.col("__walk"), width - 1, 0, "__near", rows).withColumn("__near", F.col("__near") / width)
+    m = w.groupBy(F.col(key).alias("__k")).agg(F.avg("__near").alias("__m"), F.stddev_pop("__near").alias("__s"))
+    w = w.join(m, F.col(key).eqNullSafe(F.col("__k")))
+    z = F.when(F.col("__s") > 0, (F.col("__near") - F.col("__m")) / F.col("__s")).otherwise(0.0)
+    z = z if scale is None else z * scale
+    return w.withColumn("walk", z if mean is None else z + mean).drop("__walk", "__near", "__k", "__m", "__s")
+
+
 def hop_frames(df: DataFrame, array: str, length: int, stride: int) -> DataFrame:
     """(…, tile_no, tile): hops along a packed array; a remainder is dropped."""
     n = F.greatest(F.floor((F.size(array) - (length - stride)) / stride).cast("int"), F.lit(0))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.functions.arrays import cosine_distance
+
 #: Query vectors that are sent to the tasks together; more are taken in blocks, each a pass over the pool.
 QUERY_BLOCK = 20_000
 
@@ -73,3 +75,16 @@ def nearest_rows(queries: DataFrame, pool: DataFrame, key: str, vector: str, k:
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("q").orderBy("dist", "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("q", key)
+
+
+def near_mean(df: DataFrame, group: str, vector: str, threshold: float, low: int | None = None, high: int | None = None, least: int = 0) -> DataFrame:
+    """Rows within a cosine distance of the mean vector of their group, of groups from ``low`` to ``high``; rows of other groups are dropped.
+
+    A group in the range with at most ``least`` rows raises: its mean says too little.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
+    rows = rows if low is None else rows.where((F.col(group) >= low) & (F.col(group) <= high))
+    sums = rows.select(F.col(group).alias("__g"), F.posexplode(vector).alias("i", "v")).groupBy("__g", "i").agg(F.avg("v").alias("a"), F.count(F.lit(1)).alias("n"))
+    mean = sums.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("__m"), F.max("n").alias("__n"))
+    ok = F.when(F.col("__n") > least, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too few rows of "), F.col("__g").cast("string"))))
+    return rows.join(mean.withColumn("__m", ok), F.col(group) == F.col("__g")).where(F.round(cosine_distance(F.col(vector), F.col("__m")), 6) <= threshold).drop("__g", "__m", "__n")

@@ -107,18 +107,6 @@ def rotate_to_root(spark: SparkSession, d: str) -> DataFrame:
     return f.select("vec_id", V.rotate(F.slice("x", 1, 12), (-(F.col("idx") % 12)).cast("int")).alias("chroma"))
 
 
-_SETS = [("[60, 64, 67]", "100010010000", 3), ("[60, 72, 48]", "100000000000", 3), ("[]", "0" * 12, 0), ("[83, 84]", "100000000001", 2), ("import os", None, None)]
-
-
-@query("SELECT notes, chroma, n FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if c is None else repr(c)}, {'NULL' if n is None else n})" for t, c, n in _SETS) + ") t(notes, chroma, n)")
-def note_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Text of note sets, parsed as JSON (never evaluated), to chroma and to 85 pitch bits."""
-    rows = spark.createDataFrame([(s,) for s, _, _ in _SETS], "notes string").withColumn("p", F.from_json("notes", "array<int>"))
-    pitch = F.transform(F.sequence(F.lit(0), F.lit(84)), lambda i: F.array_contains("p", i).cast("int"))
-    n = F.aggregate(pitch, F.lit(0), lambda a, x: a + x)
-    return rows.select("notes", F.when(F.col("p").isNotNull(), T.notes_chroma(F.col("p"))).alias("chroma"), F.when(F.col("p").isNotNull(), n).alias("n"))
-
-
 _SIG = "CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} * pow(10.0, 2 - floor(log10(abs({x}))))) / pow(10.0, 2 - floor(log10(abs({x})))) END"
 
 

@@ -132,8 +132,10 @@ def classes_without_rest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES}, c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY track ORDER BY frame) IS NOT DISTINCT FROM label THEN 0 ELSE 1 END AS n FROM fr),
-g AS (SELECT *, sum(n) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS k FROM c)
-SELECT track, CAST(min(frame) AS INT) AS lo, round(avg(x[1]), 9) AS mean, round(median(x[1]), 9) AS median, round(max(x[1]), 9) AS max FROM g GROUP BY track, k""")
+g AS (SELECT *, sum(n) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS k FROM c),
+p AS (SELECT track, k, CAST(min(frame) AS INT) AS lo, round(avg(x[1]), 9) AS mean, round(median(x[1]), 9) AS median, round(max(x[1]), 9) AS max FROM g GROUP BY track, k),
+m AS (SELECT track, k, x[1] AS v FROM g GROUP BY track, k, x[1] QUALIFY row_number() OVER (PARTITION BY track, k ORDER BY count(*) DESC, x[1]) = 1)
+SELECT track, lo, mean, median, max, round(v, 9) AS mode FROM p JOIN m USING (track, k)""")
 def segment_pool(spark: SparkSession, d: str) -> DataFrame:
     """First bin pooled over the runs of equal labels of a track."""
     from partita.operators.sequences import run_length
@@ -141,4 +143,4 @@ def segment_pool(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).withColumn("v", F.try_element_at("x", F.lit(1)))
     runs = run_length(f, "track", ["frame"], "label").select("track", F.col("start_idx").alias("segment"), F.col("start_idx").alias("lo"), (F.col("start_idx") + F.col("run_len")).cast("int").alias("hi"))
     p = I.boundary_pool(f, runs, "track", "frame", "v")
-    return p.select("track", F.col("segment").alias("lo"), *[F.round(c, 9).alias(c) for c in ("mean", "median", "max")])
+    return p.select("track", F.col("segment").alias("lo"), *[F.round(c, 9).alias(c) for c in ("mean", "median", "max", "mode")])

@@ -44,16 +44,6 @@ def chord_label(spark: SparkSession, d: str) -> DataFrame:
     return chord_steps(spark, d).join(voc, "idx").groupBy("label", "root", "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ODD = [("C:maj6", 60, 60), ("A:min7", 45, 45), ("C:maj(6)", None, 60), ("F#", 6, 6), ("Gb:maj", 6, 6), ("C:maj/3", None, 0), ("C/1", 0, 0), ("N", 156, 156), ("X", None, None), ("C:maj(b7)", None, 48), ("D:min(b7)", None, 38), ("G:9", None, None), ("Cb:min", 23, 23), ("C:maj(9)", None, None)]
-
-
-@query("SELECT * FROM " + _values(_ODD, "label, strict, soft"))
-def chord_soft_index(spark: SparkSession, d: str) -> DataFrame:
-    """Strict and sounding-semitone class of unusual spellings."""
-    rows = spark.createDataFrame([(r[0],) for r in _ODD], "label string")
-    return rows.select("label", V.label_index(F.col("label")).alias("strict"), V.soft_label_index(F.col("label")).alias("soft"))
-
-
 @query(f"WITH {STEPS}, p AS (SELECT idx AS a, (idx * 5 + 3) % 157 AS b, count(*) AS n FROM st GROUP BY ALL) SELECT a, b, n, CAST(b // 12 * 12 + ((b - a) % 12 + 12) % 12 AS INT) AS sub, CAST(a // 12 * 12 + (a + b) % 12 AS INT) AS added FROM p")
 def mod_arith(spark: SparkSession, d: str) -> DataFrame:
     """Block-keeping subtraction and addition modulo 12."""
@@ -112,17 +102,6 @@ def affinity(spark: SparkSession, d: str) -> DataFrame:
     return V.affinity(spark)
 
 
-_TABS = [("X, 0, 2, 2, 2, 0", [-1, 0, 2, 2, 2, 0], [45, 52, 57, 61, 64], "010010000100"), ("3,2,0,0,0,3", [3, 2, 0, 0, 0, 3], [43, 47, 50, 55, 59, 67], "001000010001"), ("x,x,p0,2,3,2", [-1, -1, 0, 2, 3, 2], [50, 57, 62, 66], "001000100100"), ("X,X,X,X,X,X", [-1] * 6, [], "0" * 12)]
-
-
-@query("SELECT tab, frets, notes, chroma, upper(replace(replace(replace(tab, ' ', ''), 'p', ''), 'P', '')) AS encoded, list_transform(frets, lambda f: CAST((f % 9 + 9) % 9 AS INT)) AS targets FROM (VALUES " + ", ".join(f"('{t}', CAST({f} AS INT[]), CAST({n} AS INT[]), '{c}')" for t, f, n, c in _TABS) + ") t(tab, frets, notes, chroma)")
-def tab_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Tablature to frets, notes, chroma and targets, and back."""
-    rows = spark.createDataFrame([(t[0],) for t in _TABS], "tab string").withColumn("frets", T.decode_tab(F.col("tab")))
-    f = F.col("frets")
-    return rows.select("tab", "frets", T.frets_notes(f).alias("notes"), T.notes_chroma(T.frets_notes(f)).alias("chroma"), T.encode_tab(f).alias("encoded"), T.fret_targets(f, 9).alias("targets"))
-
-
 _PATH = "'/data/' || coalesce(subset, '') || '/' || key || CASE WHEN CAST(floor(coalesce(duration, 0)) AS BIGINT) % 3 = 0 THEN '.tar.gz' WHEN CAST(floor(coalesce(duration, 0)) AS BIGINT) % 3 = 1 THEN '' ELSE '.npz' END"
 
 
@@ -134,16 +113,6 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", P.file_dir(c).alias("dir"), P.file_base(c).alias("base"), P.file_ext(c).alias("ext"), P.map_path(c, "/out", "json").alias("mapped"))
 
 
-_NAMES = [("/vsl/FL1/FL1mV_C#4.wav", 49, "FL1mV", "FL1", True), ("/vsl/HO/Ho-stac_A3.wav", 45, "Ho", "HO", True), ("/vsl/KB/KB_run_D2.wav", 26, "KB", "KB", False), ("/vsl/X/noise.wav", None, "noise", "X", False), ("/vsl/TU/TU_B1_E2.wav", 28, "TU", "TU", True), ("/vsl/Gong/G_F3.wav", 41, "G", "Gong", False)]
-
-
-@query("SELECT * FROM " + _values(_NAMES, "path, number, code, folder_code, kept"))
-def note_from_name(spark: SparkSession, d: str) -> DataFrame:
-    """Note number and instrument codes in a file name, and whether the name passes the filters."""
-    rows, c = spark.createDataFrame([(r[0],) for r in _NAMES], "path string"), F.col("path")
-    return rows.select("path", P.file_note_number(c).alias("number"), P.instrument_code(c).alias("code"), P.folder_code(c).alias("folder_code"), P.usable_name(c).alias("kept"))
-
-
 @query(f"WITH {STEPS}, {VOC} SELECT DISTINCT idx, CASE WHEN idx = 156 THEN 13 ELSE CAST(idx % 12 AS INT) END AS root, CAST(idx // 12 AS INT) AS quality, CASE WHEN idx = 156 THEN 'N' ELSE {V.ROOTS!r}[(idx % 12 + 7) % 12 + 1] || ':' || quality END AS up_a_fifth FROM st JOIN voc USING (idx)")
 def joint_index(spark: SparkSession, d: str) -> DataFrame:
     """Root and quality targets of every class met, and its label a fifth higher."""

@@ -165,16 +165,6 @@ def pca_lda(spark: SparkSession, d: str) -> DataFrame:
     return M.apply_network(v, "x", (64,), layers, "embedding")
 
 
-@query()
-def augment_noise(spark: SparkSession, d: str) -> DataFrame:
-    """Random masking, Gaussian noise with one scale per frame, and dropped frames; seeded."""
-    f = frames(spark, d)
-    keep = F.col("mask") < 0.9
-    rows = f.select("vec_id", F.randn(7).alias("scale"), F.rand(11).alias("drop"), F.explode("x").alias("v")).withColumns({"mask": F.rand(3), "noise": F.randn(5)})
-    value = F.when(F.col("drop") < 0.05, 0.0).otherwise(F.when(keep, F.col("v")).otherwise(0.0) + 0.25 * F.col("scale") * F.col("noise"))
-    return rows.groupBy("vec_id").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {FRAMES} SELECT a.vec_id, b.vec_id AS second, CAST(a.label AS INT) AS label, list_dot_product(a.x[1:2], b.x[1:2]) IS NOT NULL AS both_there FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|9'), vec_id) AS k FROM fr) a JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|9'), vec_id) AS k FROM fr) b ON a.label = b.label AND b.k = a.k + 1 WHERE a.k % 2 = 1")
 def same_class_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Successive samples of a class in random order, taken two by two."""

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from partita.functions.paths import file_base
+from partita.functions.paths import file_base, file_name
 from partita.operators.ranking import number_rows
 from partita.operators.sequences import compress_intervals
 from partita.session import broadcast_small, cut_lineage
@@ -83,28 +84,111 @@ def annotations_from_json(df: DataFrame, key: str, fields: dict[str, str]) -> Da
 SET_SCHEMA = "map<string, struct<chord: array<struct<data: array<struct<start: double, end: double, label: string, confidence: double>>, sandbox: map<string,string>, annotation_metadata: map<string,string>>>, sandbox: map<string,string>>>"
 
 
+NOTE_FIELDS = ["key", "annotation", "metadata", "sandbox", "start", "end", "label", "confidence"]
+
+
 def read_annotation_set(spark: SparkSession, path: str) -> DataFrame:
-    """(key, annotation, metadata, sandbox, start, end, label, confidence) of a JSON object of tracks, one row per interval."""
-    sets = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", SET_SCHEMA)).alias("key", "track"))
-    notes = sets.select("key", F.posexplode("track.chord").alias("annotation", "a"))
-    return notes.select("key", "annotation", F.col("a.annotation_metadata").alias("metadata"), F.col("a.sandbox").alias("sandbox"), F.explode("a.data").alias("r")).select("key", "annotation", "metadata", "sandbox", "r.*")
+    """(key, annotation, metadata, sandbox, start, end, label, confidence) of JSON objects of tracks, one object a file or a line.
+
+    One row per interval. An annotation without intervals has one row with null bounds, so that writing gives it back.
+    """
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.decode("content", "utf-8").alias("text"))
+    whole = F.from_json("text", SET_SCHEMA)
+    # a sink writes one object a line, other tools one object a file
+    lines = F.transform(F.split("text", "\n"), lambda x: F.from_json(x, SET_SCHEMA))
+    each = files.select(F.when(whole.isNotNull() & (F.size(F.map_keys(whole)) > 0) & ~F.trim(F.col("text")).rlike(r"\}\s*\n\s*\{"), F.array(whole)).otherwise(lines).alias("sets"))
+    tracks = each.select(F.explode("sets").alias("set")).where("set is not null").select(F.explode("set").alias("key", "track"))
+    notes = tracks.select("key", F.posexplode("track.chord").alias("annotation", "a"))
+    data = notes.select("key", "annotation", F.col("a.annotation_metadata").alias("metadata"), F.col("a.sandbox").alias("sandbox"), F.explode_outer("a.data").alias("r"))
+    return data.select("key", "annotation", "metadata", "sandbox", "r.*")
+
+
+def annotation_lines(rows: DataFrame) -> DataFrame:
+    """(key, value): one JSON object {key: track} per key, with all annotations of the key in order.
+
+    ``rows`` are those of read_annotation_set(); the metadata and sandbox of an annotation are those of any of its
+    rows that has them, {} if none has. Rows with null bounds hold no interval.
+    """
+    none = F.create_map().cast("map<string,string>")
+    item = F.when(F.col("start").isNotNull() | F.col("end").isNotNull(), F.struct("start", "end", "label", "confidence"))
+    notes = rows.groupBy("key", "annotation").agg(F.array_sort(F.collect_list(item)).alias("data"), F.first("sandbox", ignorenulls=True).alias("sandbox"), F.first("metadata", ignorenulls=True).alias("metadata"))
+    note = F.struct(F.col("annotation"), F.struct("data", F.coalesce("sandbox", none).alias("sandbox"), F.coalesce("metadata", none).alias("annotation_metadata")).alias("note"))
+    track = notes.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("annotation", F.to_json(note["note"]).alias("note")))), lambda x: x["note"]).alias("notes"))
+    text = F.concat(F.lit("{"), F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2), F.lit(':{"chord":['), F.array_join("notes", ","), F.lit('],"sandbox":{}}}'))
+    return track.select("key", text.alias("value"))
 
 
-def write_annotation_set(rows: DataFrame, path: str, metadata: DataFrame | None = None) -> None:
-    """Interval rows (key, start, end, label, confidence) as one JSON text per key, {key: track}; metadata(key, metadata) joins left, default empty."""
-    data = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "confidence"))).alias("data"))
+def write_annotation_set(rows: DataFrame, path: str) -> None:
+    """annotation_lines() as a text sink; read_annotation_set() reads it back."""
+    annotation_lines(rows).select("value").write.mode("overwrite").text(path)
+
+
+def intervals_to_annotations(rows: DataFrame, metadata: DataFrame | None, timestamp: str, key: Callable[[Column], Column] = lambda base: base) -> DataFrame:
+    """Interval rows of read_intervals() as annotation rows: the key comes from the file's name, the sandbox names file and time.
+
+    ``metadata(key, metadata)`` joins left; a key without has {}.
+    """
     none = F.create_map().cast("map<string,string>")
-    with_meta = data.withColumn("metadata", none) if metadata is None else data.join(metadata, "key", "left").withColumn("metadata", F.coalesce("metadata", none))
-    note = F.struct("data", none.alias("sandbox"), F.col("metadata").alias("annotation_metadata"))
-    track = F.struct(F.array(note).alias("chord"), none.alias("sandbox"))
-    with_meta.select(F.to_json(F.map_from_arrays(F.array("key"), F.array(track))).alias("value")).write.mode("overwrite").text(path)
+    sandbox = F.create_map(F.lit("source_file"), file_name(F.col("path")), F.lit("timestamp"), F.lit(timestamp))
+    notes = rows.select(key(file_base(F.col("path"))).alias("key"), F.lit(0).alias("annotation"), sandbox.alias("sandbox"), "start", "end", "label", F.lit(1.0).alias("confidence"))
+    if metadata is None:
+        notes = notes.withColumn("metadata", none)
+    else:
+        notes = notes.join(metadata.select("key", "metadata"), "key", "left").withColumn("metadata", F.coalesce("metadata", none))
+    return notes.select(*NOTE_FIELDS)
 
 
 def pair_annotators(a: DataFrame, b: DataFrame, key: Callable[[Column], Column], names: tuple[str, str]) -> DataFrame:
-    """Interval rows of two annotators' files, joined on the key in their names rather than by list position; files of one annotator alone stay."""
-    one = a.withColumn("key", key(file_base(F.col("path")))).withColumn("annotator", F.lit(names[0]))
-    two = b.withColumn("key", key(file_base(F.col("path")))).withColumn("annotator", F.lit(names[1]))
-    return one.unionByName(two)
+    """Annotation rows of two annotators' files, paired on the key in the names and not by list position: annotations 0 and 1 of a key.
+
+    The annotator is in the metadata. ``paired`` says whether both annotated the key; files of one annotator alone stay.
+    """
+    sides = []
+    for i, (df, name) in enumerate(zip((a, b), names, strict=True)):
+        rows = intervals_to_annotations(df, None, "", key).withColumns({"annotation": F.lit(i), "sandbox": F.create_map(F.lit("source_file"), F.element_at("sandbox", "source_file")), "metadata": F.create_map(F.lit("annotator"), F.lit(name))})
+        sides.append(rows)
+    both = sides[0].select("key").distinct().join(sides[1].select("key").distinct(), "key").withColumn("paired", F.lit(True))
+    return sides[0].unionByName(sides[1]).join(both, "key", "left").withColumn("paired", F.coalesce("paired", F.lit(False)))
+
+
+def decoded_annotations(segments: DataFrame, key: str, label: Column, penalty: Column, path: Column | None = None) -> DataFrame:
+    """Decoded segments (start, end, confidence) as annotation rows tagged as a machine's, with penalty and run parameters in the sandbox.
+
+    Annotations of a key are numbered by penalty.
+    """
+    run = run_parameters(path) if path is not None else None
+    fields = [] if run is None else [x for f in ("model", "dropout", "fold", "split", "checkpoint") for x in (F.lit(f), run[f])]
+    sandbox = F.create_map(F.lit("penalty"), penalty.cast("string"), *fields)
+    rows = segments.select(F.col(key).alias("key"), penalty.alias("__p"), sandbox.alias("sandbox"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), label.alias("label"), F.col("confidence").cast("double").alias("confidence"))
+    order = rows.select("key", "__p").distinct().withColumn("annotation", F.row_number().over(Window.partitionBy("key").orderBy("__p")) - 1)
+    rows = rows.join(order, ["key", "__p"]).withColumn("metadata", F.create_map(F.lit("data_source"), F.lit("machine estimation")))
+    return rows.select(*NOTE_FIELDS, F.col("__p").alias("penalty"))
+
+
+def write_decodes(annotations: DataFrame, path: str) -> None:
+    """decoded_annotations() as one text sink per penalty (a folder each), so that penalties are read apart."""
+    lines = None
+    for p in [r[0] for r in annotations.select("penalty").distinct().collect()]:
+        part = annotation_lines(annotations.where(F.col("penalty") == p)).select("value", F.lit(p).alias("penalty"))
+        lines = part if lines is None else lines.unionByName(part)
+    if lines is not None:
+        lines.write.mode("overwrite").partitionBy("penalty").text(path)
+
+
+def read_voicings(spark: SparkSession, path: str) -> DataFrame:
+    """(label, tab) of a JSON object of labels and tablatures."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("label", "tab"))
+
+
+def public_columns(df: DataFrame) -> DataFrame:
+    """Without columns, and fields of structs, whose name begins with an underscore."""
+
+    def kept(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            return F.struct(*[kept(c[f.name], f.dataType).alias(f.name) for f in t if not f.name.startswith("_")]) if any(not f.name.startswith("_") for f in t) else F.lit(None)
+        return c
+
+    return df.select(*[kept(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not f.name.startswith("_")])
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:

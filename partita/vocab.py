@@ -149,3 +149,18 @@ def relative_labels(ref: Column, est: Column) -> tuple[Column, Column]:
     """Both labels moved so that the reference's root is C; an N has root -1 in that arithmetic and itself stays."""
     re_root = lambda label, root: F.when(label.rlike("^[A-G]"), F.concat(F.element_at(F.array(*[F.lit(r) for r in ROOTS]), (root + 1).cast("int")), F.regexp_replace(label, "^[A-G][#b]*", ""))).otherwise(label)
     return re_root(ref, F.lit(0)), re_root(est, F.pmod(label_root(est) - F.coalesce(label_root(ref), F.lit(0)), F.lit(12)))
+
+
+def split_label(label: Column) -> Column:
+    """(root, quality, extensions, bass) of a label ``root:quality(extensions)/bass``; parts that are not there are empty, N and X are roots, what does not fit the form is null."""
+    form = r"^(N|X|[A-G][#b]*)(?::([A-Za-z0-9+-]*))?(?:\(([^()]*)\))?(?:/([^/]+))?$"
+    part = lambda i: F.regexp_extract(label, form, i)
+    extensions = F.when(part(3) == "", F.array().cast("array<string>")).otherwise(F.split(part(3), " *, *"))
+    return F.when(label.rlike(form), F.struct(part(1).alias("root"), part(2).alias("quality"), extensions.alias("extensions"), part(4).alias("bass")))
+
+
+def join_label(parts: Column) -> Column:
+    """The inverse of split_label()."""
+    ext = F.when(F.size(parts["extensions"]) > 0, F.concat(F.lit("("), F.array_join(parts["extensions"], ","), F.lit(")"))).otherwise("")
+    colon = F.when((parts["quality"] != "") | (F.size(parts["extensions"]) > 0), F.concat(F.lit(":"), parts["quality"])).otherwise("")
+    return F.concat(parts["root"], colon, ext, F.when(parts["bass"] != "", F.concat(F.lit("/"), parts["bass"])).otherwise(""))

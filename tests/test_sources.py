@@ -32,19 +32,53 @@ def test_textlist_and_files(spark, tmp_path):
     assert sorted(got) == [("y.wav", 1), ("z.wav", 2)]
 
 
+def notes(rows):
+    return sorted((r.key, r.annotation, tuple(sorted((r.metadata or {}).items())), tuple(sorted((r.sandbox or {}).items())), r.start, r.end, r.label, r.confidence) for r in rows.collect())
+
+
+NOTES = "key string, annotation int, metadata map<string,string>, sandbox map<string,string>, start double, end double, label string, confidence double"
+
+
 def test_annotation_set(spark, tmp_path):
-    rows = spark.createDataFrame([("k1", 0.0, 1.0, "C:maj", 0.5), ("k1", 1.0, 2.0, "N", None), ("k2", 0.0, 3.0, "G:min", 1.0)], "key string, start double, end double, label string, confidence double")
-    meta = spark.createDataFrame([("k1", {"annotator": "a"})], "key string, metadata map<string,string>")
-    A.write_annotation_set(rows, str(tmp_path / "set"), meta)
-    back = spark.read.text(str(tmp_path / "set"))
-    assert all(list(json.loads(r.value))[0] in ("k1", "k2") for r in back.collect())
-    parsed = back.select(F.explode(F.from_json("value", A.SET_SCHEMA)).alias("key", "t")).select("key", F.explode("t.chord").alias("c")).select("key", "c.annotation_metadata", F.explode("c.data").alias("d")).select("key", "annotation_metadata", "d.*")
-    assert sorted((r.key, r.start, r.end, r.label, r.confidence) for r in parsed.collect() if r.key == "k2") == [("k2", 0.0, 3.0, "G:min", 1.0)]
-    assert {r.key: r.annotation_metadata for r in parsed.collect()} == {"k1": {"annotator": "a"}, "k2": {}}
+    rows = spark.createDataFrame(
+        [
+            ("k1", 0, {"annotator": "a"}, {"source_file": "x"}, 0.0, 1.0, "C:maj", 0.5), ("k1", 0, {"annotator": "a"}, {"source_file": "x"}, 1.0, 2.0, "N", None),
+            ("k1", 1, {}, {"penalty": "-1"}, 0.0, 2.0, "G\"7\n", 1.0), ("k2", 0, {}, {}, 0.0, 3.0, "G:min", 1.0), ("k\"3", 0, {"a": "b"}, {}, None, None, None, None),
+        ],
+        NOTES,
+    )
+    A.write_annotation_set(rows, str(tmp_path / "set"))
+    assert notes(A.read_annotation_set(spark, str(tmp_path / "set"))) == notes(rows)
+    for r in spark.read.text(str(tmp_path / "set")).collect():
+        assert set(json.loads(r.value)) <= {"k1", "k2", "k\"3"}
     one = tmp_path / "one.json"
-    one.write_text(json.dumps({"k": {"chord": [{"data": [{"start": 0, "end": 1, "label": "N", "confidence": 1}], "sandbox": {"penalty": "-1"}}]}}))
-    r = A.read_annotation_set(spark, str(one)).first()
-    assert (r.key, r.label, r.sandbox) == ("k", "N", {"penalty": "-1"})
+    one.write_text(json.dumps({"k": {"chord": [{"data": [{"start": 0, "end": 1, "label": "N", "confidence": 1}], "sandbox": {"penalty": "-1"}}]}, "j": {"chord": []}}, indent=1))
+    r = A.read_annotation_set(spark, str(one)).collect()
+    assert [(x.key, x.label, x.sandbox, x.metadata) for x in r] == [("k", "N", {"penalty": "-1"}, None)]
+
+
+def test_intervals_to_annotations(spark, tmp_path):
+    (tmp_path / "a.lab").write_text("0.0 1.0 C:maj\n1.0 2.0 N\n")
+    (tmp_path / "b.lab").write_text("0.0 1.0 G\n")
+    meta = spark.createDataFrame([("a", {"artist": "z"})], "key string, metadata map<string,string>")
+    got = A.intervals_to_annotations(A.read_intervals(spark, str(tmp_path / "*.lab")), meta, "now").collect()
+    assert {(r.key, r.label, r.metadata.get("artist"), r.sandbox["source_file"], r.sandbox["timestamp"]) for r in got} == {("a", "C:maj", "z", "a.lab", "now"), ("a", "N", "z", "a.lab", "now"), ("b", "G", None, "b.lab", "now")}
+
+
+def test_decodes(spark, tmp_path):
+    seg = spark.createDataFrame([("t", -1.0, 0, 3, 0.0, 1.0, -0.5, "m/0.5/1/test.npz"), ("t", -5.0, 0, 3, 0.0, 2.0, None, "m/0.5/1/test.npz")], "key string, penalty double, segment int, state int, start double, end double, confidence double, path string")
+    rows = A.decoded_annotations(seg, "key", F.col("state").cast("string"), F.col("penalty"), F.col("path"))
+    assert {(r.annotation, r.penalty, r.sandbox["penalty"], r.sandbox["checkpoint"], r.metadata["data_source"]) for r in rows.collect()} == {(0, -5.0, "-5.0", "best", "machine estimation"), (1, -1.0, "-1.0", "best", "machine estimation")}
+    A.write_decodes(rows, str(tmp_path / "out"))
+    assert [(r.start, r.end) for r in A.read_annotation_set(spark, str(tmp_path / "out" / "penalty=-1.0")).collect()] == [(0.0, 1.0)]
+
+
+def test_voicings_and_public_columns(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({"C:maj": "X,3,2,0,1,0", "G:maj": "3,2,0,0,0,3"}))
+    assert {tuple(r) for r in A.read_voicings(spark, str(tmp_path / "v.json")).collect()} == {("C:maj", "X,3,2,0,1,0"), ("G:maj", "3,2,0,0,0,3")}
+    df = spark.createDataFrame([(1, 2, (3, (4, 5)))], "a int, _b int, s struct<_c: int, t: struct<d: int, _e: int>>")
+    out = A.public_columns(df)
+    assert out.schema.simpleString() == "struct<a:int,s:struct<t:struct<d:int>>>" and out.first().s.t.d == 4
 
 
 def test_splits_stash_and_names(spark, tmp_path):
@@ -66,10 +100,11 @@ def test_sweep_and_annotators(spark):
     cks = spark.createDataFrame([(f"c{i:02d}",) for i in range(10)], "path string")
     got = A.checkpoint_sweep(cks, spark.createDataFrame([("k",)], "key string"), 1, 4)
     assert sorted(r.checkpoint for r in got.collect()) == ["c01", "c05", "c09"]
-    a = spark.createDataFrame([("/l/song_dt.lab", "N")], "path string, label string")
-    b = spark.createDataFrame([("/l/song_tdc.lab", "C")], "path string, label string")
+    fields = "path string, start double, end double, label string"
+    a = spark.createDataFrame([("/l/song_dt.lab", 0.0, 1.0, "N")], fields)
+    b = spark.createDataFrame([("/l/alone_tdc.lab", 0.0, 1.0, "D"), ("/l/song_tdc.lab", 0.0, 1.0, "C")], fields)
     both = A.pair_annotators(a, b, lambda base: F.regexp_replace(base, "_(dt|tdc)$", ""), ("dt", "tdc"))
-    assert sorted((r.key, r.annotator, r.label) for r in both.collect()) == [("song", "dt", "N"), ("song", "tdc", "C")]
+    assert sorted((r.key, r.annotation, r.metadata["annotator"], r.label, r.paired) for r in both.collect()) == [("alone", 1, "tdc", "D", False), ("song", 0, "dt", "N", True), ("song", 1, "tdc", "C", True)]
 
 
 def test_wav(spark, tmp_path):
