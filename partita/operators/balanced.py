@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from partita.operators.ranking import null_safe_join
 from partita.session import cut_lineage
 
-#: Rows of a key that are processed together.
-CHUNK_ROWS = 50_000
-_STATE = "key string, pid int, seq bigint, n_rows bigint, n_frames bigint, first_frame bigint, last_frame bigint, first_value string, last_value string, n_changes bigint, counts array<struct<value:string,n:bigint>>"
+#: Frames of a key that go to one task together, and rows of them that make a chunk.
+BLOCK, CHUNK_ROWS = 8192, 50_000
+_STATE = "key string, block bigint, seq bigint, n_rows bigint, n_frames bigint, first_frame bigint, last_frame bigint, first_value string, last_value string, n_changes bigint, counts array<struct<value:string,n:bigint>>"
 
 
 def _chunk_states(chunk_rows: int):
-    """Rows of a partition, sorted by (key, frame, newest first), to one state for each chunk of a key."""
+    """Rows of a partition, sorted by (key, block, frame, newest first), to one state for each chunk of a (key, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -30,12 +30,12 @@ def _chunk_states(chunk_rows: int):
             nonlocal open_
             if open_ is not None:
                 s = open_
-                out.append((s["key"], s["pid"], s["seq"], s["rows"], s["frames"], s["first"], s["last"], s["fv"], s["lv"], s["changes"], [{"value": v, "n": n} for v, n in s["counts"].items()]))
+                out.append((s["key"], s["block"], s["seq"], s["rows"], s["frames"], s["first"], s["last"], s["fv"], s["lv"], s["changes"], [{"value": v, "n": n} for v, n in s["counts"].items()]))
                 open_ = None
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
-            schema = pa.schema([("key", pa.string()), ("pid", pa.int32()), *[(n, pa.int64()) for n in ("seq", "n_rows", "n_frames", "first_frame", "last_frame")], ("first_value", pa.string()), ("last_value", pa.string()), ("n_changes", pa.int64()), ("counts", pa.list_(pa.struct([("value", pa.string()), ("n", pa.int64())])))])
+            schema = pa.schema([("key", pa.string()), *[(n, pa.int64()) for n in ("block", "seq", "n_rows", "n_frames", "first_frame", "last_frame")], ("first_value", pa.string()), ("last_value", pa.string()), ("n_changes", pa.int64()), ("counts", pa.list_(pa.struct([("value", pa.string()), ("n", pa.int64())])))])
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         prev_key: object = object()
@@ -50,16 +50,16 @@ def _chunk_states(chunk_rows: int):
             kc = pc.fill_null(keys.indices, len(names) - 1).to_numpy(zero_copy_only=False)
             vc = pc.fill_null(values.indices, -1).to_numpy(zero_copy_only=False)
             fr = pc.fill_null(b.column("frame").cast(pa.int64()), -(2**62)).to_numpy(zero_copy_only=False)
-            pid = b.column("pid")[0].as_py()
-            cut = np.flatnonzero(np.diff(kc)) + 1
+            blocks = b.column("block").to_numpy()
+            cut = np.flatnonzero((np.diff(kc) != 0) | (np.diff(blocks) != 0)) + 1
             for lo, hi in zip([0, *cut], [*cut, len(kc)], strict=True):
-                key = names[kc[lo]]
-                if key != prev_key:
+                key, block = names[kc[lo]], int(blocks[lo])
+                if (key, block) != prev_key:
                     close()
-                    seq, prev_frame, prev_key = 0, object(), key
+                    seq, prev_frame, prev_key = 0, object(), (key, block)
                 while lo < hi:
                     if open_ is None:
-                        open_ = {"key": key, "pid": pid, "seq": seq, "rows": 0, "frames": 0, "first": None, "last": None, "fv": None, "lv": None, "changes": 0, "counts": {}}
+                        open_ = {"key": key, "block": block, "seq": seq, "rows": 0, "frames": 0, "first": None, "last": None, "fv": None, "lv": None, "changes": 0, "counts": {}}
                         seq += 1
                     s = open_
                     end = min(hi, lo + chunk_rows - s["rows"])
@@ -100,22 +100,23 @@ def _chunk_states(chunk_rows: int):
 def chunk_states(rows: DataFrame, key: str, frame: str, raw: str, newest: str, derive: Callable[[DataFrame, str, str], DataFrame], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One state for each chunk of equal size of a key, with the exact row number its first row has in the key.
 
-    Rows are range-partitioned by (key, frame), so a large key spreads over partitions and all rows
-    of one (key, frame) stay together. The rows of each key are counted per partition; the prefix sum
-    of these counts is the offset of the partition's first row of the key.
+    A key's frames are cut into blocks of BLOCK, so a large key spreads over tasks and all rows of one (key, frame)
+    stay together; the rows are read and exchanged once. They are counted per block and chunk; the prefix sums
+    of these counts are the offsets of the chunks' first rows in the key.
     """
     slim = rows.select(F.col(key).alias("key"), F.col(frame).alias("frame"), F.col(raw).alias("raw"), F.col(newest).alias("newest"))
-    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, "key", "frame").sortWithinPartitions("key", "frame", F.desc("newest"))
-    # values are derived after the exchange: before it, the pass that samples range bounds would derive them too
-    states = derive(ranged, "raw", "value").select("key", "frame", "value", F.spark_partition_id().alias("pid")).mapInArrow(_chunk_states(chunk_rows), _STATE)
+    slim = slim.withColumn("block", F.coalesce(F.floor(F.col("frame") / BLOCK), F.lit(-(2**48))))
+    # without a number of partitions AQE may merge them; a (key, block) is never split
+    dealt = slim.repartition("key", "block").sortWithinPartitions("key", "block", "frame", F.desc("newest"))
+    # values are derived after the exchange, which so carries the raw ones
+    states = derive(dealt, "raw", "value").select("key", "block", "frame", "value").mapInArrow(_chunk_states(chunk_rows), _STATE)
     states = cut_lineage(states)
-    per = states.groupBy("key", "pid").agg(F.sum("n_rows").alias("n"))
-    w = Window.partitionBy("key").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("key", "pid", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("key", "pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    per = states.groupBy("key", "block").agg(F.sum("n_rows").alias("n"))
+    w = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("key", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("key", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     numbered = states.withColumn("before", F.coalesce(F.sum("n_rows").over(inside), F.lit(0)))
-    return null_safe_join(numbered, offsets, ["key", "pid"]).withColumn("first_row", F.col("offset") + F.col("before")).drop("offset", "before")
+    return null_safe_join(numbered, offsets, ["key", "block"]).withColumn("first_row", F.col("offset") + F.col("before")).drop("offset", "before")
 
 
 def key_summary(
@@ -128,7 +129,7 @@ def key_summary(
     newest holds. top_value is the most frequent non-null value (ties: the smallest), n_changes how
     often the value differs from the one before, is_hot whether the key holds at least ``hot_share``
     of all rows. A key with null values only has a null top_value; a null key is a key. Chunk states
-    are merged in the order of their first row; boundary states join across chunks and partitions.
+    are merged in the order of their first row; boundary states join across chunks and blocks.
     """
     states = chunk_states(rows, key, frame, raw, newest, derive, chunk_rows)
     w = Window.partitionBy("key").orderBy("first_row")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.operators.ranking import carry_last, null_safe_join
+from partita.operators.ranking import BUCKET_ROWS, carry_last, null_safe_join
 
 
 def _bucketed(df: DataFrame, width: int) -> DataFrame:
@@ -81,21 +81,25 @@ def to_grid(ivs: DataFrame, key: str, step: int, width: int, fill: str = "N") ->
     return asof_label(ticks, ivs, key, "t", width, fill)
 
 
-def nearest_value(queries: DataFrame, pool: DataFrame, query_id: str, query: str, pool_id: str, value: str, width: float) -> DataFrame:
+def nearest_value(queries: DataFrame, pool: DataFrame, query_id: str, query: str, pool_id: str, value: str) -> DataFrame:
     """(query_id, nearest): id of the pool row with the value closest to the query's; ties go to the smaller value, then id.
 
-    A sorted merge both ways in value buckets of ``width``, not a cross join: the nearest row is the last one
-    at or below, or the first one above. Null queries and values match nothing.
+    A sorted merge both ways over different values, not a cross join: the nearest row is the last one
+    at or below, or the first one above. Equal values are merged before and joined to their rows after, so a frequent value
+    is one row; buckets of values hold about BUCKET_ROWS of them. Null queries and values match nothing.
     """
-    uniq = pool.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.min(pool_id).alias("id"))
-    q = queries.where(F.col(query).isNotNull()).select(F.col(query).alias("v"), F.lit(None).cast("struct<v:double,id:bigint>").alias("hit"), F.col(query_id).alias("q"))
-    p = uniq.select("v", F.struct(F.col("v").cast("double").alias("v"), F.col("id").cast("bigint").alias("id")).alias("hit"), F.lit(None).cast(q.schema["q"].dataType).alias("q"))
-    both = p.unionByName(q).withColumn("one", F.lit(1)).withColumn("b", F.floor(F.col("v") / width))
-    below = carry_last(both, ["one"], "b", ["v", F.col("q").isNotNull()], "hit", "low").where("q is not null").select("q", "v", "low")
+    uniq = pool.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.min(pool_id).cast("bigint").alias("id"))
+    asked = queries.where(F.col(query).isNotNull()).select(F.col(query_id), F.col(query).cast("double").alias("v"))
+    q = asked.select("v").distinct().select("v", F.lit(None).cast("struct<v:double,id:bigint>").alias("hit"), F.lit(True).alias("q"))
+    both = uniq.select("v", F.struct("v", "id").alias("hit"), F.lit(False).alias("q")).unionByName(q)
+    n, lo, hi = both.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    width = max((hi - lo) * BUCKET_ROWS / n, 1e-300) if n and hi > lo else 1.0
+    both = both.withColumns({"one": F.lit(1), "b": F.floor((F.col("v") - F.lit(lo or 0.0)) / width)})
+    below = carry_last(both, ["one"], "b", ["v", "q"], "hit", "low").where("q").select("v", "low")
     up = both.withColumns({"b": -F.col("b"), "nv": -F.col("v")})
-    above = carry_last(up, ["one"], "b", ["nv", F.col("q").isNotNull()], "hit", "high").where("q is not null").select("q", "high")
+    above = carry_last(up, ["one"], "b", ["nv", "q"], "hit", "high").where("q").select("v", "high")
     near = F.when(F.col("high").isNull() | (F.col("v") - F.col("low.v") <= F.col("high.v") - F.col("v")), F.col("low.id")).otherwise(F.col("high.id"))
-    return below.join(above, "q").select(F.col("q").alias(query_id), near.alias("nearest"))
+    return asked.join(below.join(above, "v").select("v", near.alias("nearest")), "v").select(query_id, "nearest")
 
 
 def segment_pool(df: DataFrame, keys: list[str], value: Column) -> DataFrame:

@@ -92,10 +92,8 @@ def carry_last(df: DataFrame, by: list[str], bucket: str, order: list[Column | s
     """
     w = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = df.withColumn("__in", F.last(value, ignorenulls=True).over(w))
-    rank = F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order))
-    ends = df.where(F.col(value).isNotNull()).withColumn("__r", rank).groupBy(*by, bucket).agg(F.max_by(value, "__r").alias("__last"))
-    every = df.select(*by, bucket).distinct()
-    ends = null_safe_join(every, ends, [*by, bucket], "left")
+    # one row per bucket with its last value, null if it has none
+    ends = df.groupBy(*by, bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, bucket, F.last("__last", ignorenulls=True).over(before).alias("__carried"))
     return null_safe_join(inside, carried, [*by, bucket]).withColumn(out, F.coalesce("__in", "__carried")).drop("__in", "__carried")

@@ -65,7 +65,7 @@ def interval_to_grid(spark: SparkSession, d: str) -> DataFrame:
 SELECT s_suppkey, (SELECT arg_min(id, (abs(v - s_acctbal), v)) FROM u) AS nearest FROM supplier""")
 def nearest_value(spark: SparkSession, d: str) -> DataFrame:
     """The part whose price is nearest to each supplier's balance."""
-    return I.nearest_value(table(spark, d, "supplier"), table(spark, d, "part"), "s_suppkey", "s_acctbal", "p_partkey", "p_retailprice", 50.0)
+    return I.nearest_value(table(spark, d, "supplier"), table(spark, d, "part"), "s_suppkey", "s_acctbal", "p_partkey", "p_retailprice")
 
 
 @query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
