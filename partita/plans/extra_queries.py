@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from partita import vocab as V
 from partita.functions import arrays as A
-from partita.functions import tabs as T
 from partita.operators import intervals as I
 from partita.operators import models as M
 from partita.operators.evaluate import significant

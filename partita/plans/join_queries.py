@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.operators import intervals as I
+from partita.operators.sequences import with_positions
 from partita.operators.vectors import nearest_rows
 from partita.plans.standins import EV, FRAMES, IV, RE, events, frames, intervals, ref_est
 from partita.session import table
@@ -100,7 +101,7 @@ def pair_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 def partition_index(spark: SparkSession, d: str) -> DataFrame:
     """Positions of the wanted labels per user; users without any are left out."""
     n = I.window_rank(events(spark, d), ["user_id"], ["us", "event_id"], "i").where(F.col("label").isin("click", "purchase"))
-    return n.groupBy("user_id", "label").agg(F.array_sort(F.collect_list(F.col("i") - 1)).alias("positions"))
+    return n.groupBy("user_id", "label").agg(F.array_sort(F.collect_list(F.col("__at").cast("int"))).alias("positions"))
 
 
 @query("SELECT k.key, coalesce(m.artist, '') AS artist, coalesce(m.title, '') AS title FROM (SELECT DISTINCT key FROM chord_entities) k LEFT JOIN (SELECT key, min(artist) AS artist, min(title) AS title FROM tracks GROUP BY key) m ON k.key = m.key")

@@ -4,9 +4,9 @@ import pytest
 from oracle import same
 
 import __spark_entry__ as entry
-from partita.plans import array_queries, extra_queries, join_queries, label_queries, model_queries, problems, score_queries, sequence_queries
+from partita.plans import array_queries, corpus_queries, extra_queries, join_queries, label_queries, model_queries, problems, score_queries, sequence_queries
 
-MODULES = (array_queries, extra_queries, join_queries, label_queries, model_queries, problems, score_queries, sequence_queries)
+MODULES = (array_queries, corpus_queries, extra_queries, join_queries, label_queries, model_queries, problems, score_queries, sequence_queries)
 CORE = {k: (m.QUERIES[k], m.SQL.get(k)) for m in MODULES for k in m.QUERIES}
 
 
