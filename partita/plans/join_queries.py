@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partita.functions.paths import glob_to_regex
 from partita.operators import intervals as I
 from partita.operators.sequences import with_positions
 from partita.operators.vectors import nearest_rows
@@ -91,9 +92,8 @@ def catalogue_merge(spark: SparkSession, d: str) -> DataFrame:
 def pair_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs of a user whose labels match the globs p* and *ck; patterns are applied before the join."""
     ref, est = ref_est(spark, d)
-    glob = lambda c, g: F.col(c).rlike("^" + "".join({"*": ".*", "?": "."}.get(x, "\\" + x if not x.isalnum() else x) for x in g) + "$")
-    r = ref.where(glob("label", "p*")).withColumn("label", F.col("event_id").cast("string"))
-    x = est.where(glob("label", "*ck")).withColumn("label", F.col("event_id").cast("string"))
+    r = ref.where(F.col("label").rlike(glob_to_regex("p*"))).withColumn("label", F.col("event_id").cast("string"))
+    x = est.where(F.col("label").rlike(glob_to_regex("*ck"))).withColumn("label", F.col("event_id").cast("string"))
     return I.overlap_join(r, x, "user_id", WIDTH).select("user_id", F.col("ref").cast("bigint").alias("ref_id"), F.col("est").cast("bigint").alias("est_id"))
 
 
