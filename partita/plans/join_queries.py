@@ -100,7 +100,7 @@ def pair_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i FROM ev) SELECT user_id, label, list_sort(list(CAST(i AS INT))) AS positions FROM n WHERE label IN ('click', 'purchase') GROUP BY ALL")
 def partition_index(spark: SparkSession, d: str) -> DataFrame:
     """Positions of the wanted labels per user; users without any are left out."""
-    n = I.window_rank(events(spark, d), ["user_id"], ["us", "event_id"], "i").where(F.col("label").isin("click", "purchase"))
+    n = with_positions(events(spark, d), "user_id", ["us", "event_id"]).where(F.col("label").isin("click", "purchase"))
     return n.groupBy("user_id", "label").agg(F.array_sort(F.collect_list(F.col("__at").cast("int"))).alias("positions"))
 
 
