@@ -16,6 +16,7 @@ from partita.operators.vectors import near_mean
 from partita.plans import score_queries as SC
 from partita.plans.extra_queries import _ANN, _annotation, _holding, _points
 from partita.plans.model_queries import KERNEL
+from partita.plans.sqltext import QUALITY_BITS, QUALITY_NAMES, chroma_sql, label_sql
 from partita.plans.standins import EV, FRAMES, IV, RUNS, STEPS, chord_steps, events, frames, intervals
 from partita.session import table
 
@@ -54,20 +55,6 @@ def _rel(root: str, x: str) -> str:
     return f"CAST(CASE WHEN {root} = 156 OR {x} = 156 THEN {x} ELSE {x} // 12 * 12 + (({x} % 12 - {root} % 12) % 12 + 12) % 12 END AS INT)"
 
 
-#: Written out here, not taken from the engine: semitones of each quality above its root.
-_BITS = "['100010010000', '100100010000', '100010010001', '100100010010', '100010010010', '100010010100', '100100010100', '100100100000', '100010001000', '100001010000', '101000010000', '100100100100', '100100100010']"
-_QUALITY_NAMES = "['maj', 'min', 'maj7', 'min7', '7', 'maj6', 'min6', 'dim', 'aug', 'sus4', 'sus2', 'dim7', 'hdim7']"
-_ROOT_NAMES = "['C', 'C#', 'D', 'Eb', 'E', 'F', 'F#', 'G', 'Ab', 'A', 'Bb', 'B']"
-
-
-def _chroma(x: str) -> str:
-    return f"CASE WHEN {x} = 156 THEN '000000000000' ELSE array_to_string(list_transform(range(12), lambda i: substr({_BITS}[{x} // 12 + 1], CAST((i - {x} % 12 + 12) % 12 + 1 AS INT), 1)), '') END"
-
-
-def _label(x: str) -> str:
-    return f"CASE WHEN {x} = 156 THEN 'N' ELSE {_ROOT_NAMES}[{x} % 12 + 1] || ':' || {_QUALITY_NAMES}[{x} // 12 + 1] END"
-
-
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     return intervals(events(spark, d)).withColumns({"idx": F.expr(_CLASS), "micros": F.col("e") - F.col("s")})
 
@@ -103,7 +90,7 @@ def trigram_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_CL}, {_LAG}, t AS (SELECT {_rel('idx', 'p')} AS a, {_rel('idx', 'idx')} AS b, {_rel('idx', 'q')} AS c, idx, e - s AS m FROM n WHERE p IS NOT NULL AND q IS NOT NULL)
-SELECT {_chroma('a')} AS prev, {_chroma('b')} AS cur, {_chroma('c')} AS nxt, CAST(sum(m) AS BIGINT) AS micros, list_sort(list(DISTINCT {_label('idx')})) AS labels FROM t GROUP BY 1, 2, 3""")
+SELECT {chroma_sql('a')} AS prev, {chroma_sql('b')} AS cur, {chroma_sql('c')} AS nxt, CAST(sum(m) AS BIGINT) AS micros, list_sort(list(DISTINCT {label_sql('idx')})) AS labels FROM t GROUP BY 1, 2, 3""")
 def chroma_trigrams(spark: SparkSession, d: str) -> DataFrame:
     """Trigrams as three twelve-bit chroma: time and labels of the middle."""
     t = _trigrams(spark, d)
@@ -115,7 +102,7 @@ _RANKED = "CASE label " + " ".join(f"WHEN '{k}' THEN {12 * v} + user_id % 12" fo
 
 
 @query(f"""WITH {RUNS}, r AS (SELECT user_id, label, min(i) AS i, arg_min(us, i) AS s, arg_max(us, i) AS l FROM num GROUP BY user_id, label, g),
-x AS (SELECT user_id, s AS start, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY i), l) AS "end", {_RANKED} AS idx FROM r) SELECT user_id, start, "end", {_chroma('idx')} AS chroma FROM x""")
+x AS (SELECT user_id, s AS start, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY i), l) AS "end", {_RANKED} AS idx FROM r) SELECT user_id, start, "end", {chroma_sql('idx')} AS chroma FROM x""")
 def segment_chroma(spark: SparkSession, d: str) -> DataFrame:
     """Chroma, start and end of each stretch of one label."""
     r = S.runs_to_intervals(events(spark, d), "user_id", ORDER, "label", "us")
@@ -175,7 +162,7 @@ _PITCH = "(CASE substr({l}, 1, 1) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN
 
 
 @query(f"""WITH l AS (SELECT DISTINCT chord_labels AS label FROM chord_frames WHERE chord_labels IS NOT NULL UNION SELECT DISTINCT unnest(chord_labels) FROM chord_entities),
-q AS (SELECT unnest({_QUALITY_NAMES}) AS name, unnest({_BITS}) AS bits, unnest(range(13)) AS i),
+q AS (SELECT unnest({QUALITY_NAMES}) AS name, unnest({QUALITY_BITS}) AS bits, unnest(range(13)) AS i),
 p AS (SELECT label, regexp_extract(label, '^[A-G]([#b]*)', 1) AS acc, coalesce(nullif(regexp_extract(label, '^[A-G][#b]*:?([a-z0-9]*)', 1), ''), 'maj') AS name,
  list_transform(list_filter(string_split(regexp_extract(label, '\\(([^)]*)\\)', 1), ','), lambda x: regexp_matches(x, '^[#b]*[0-9]+$')), lambda x: ({_SCALE}[(CAST(regexp_extract(x, '([0-9]+)', 1) AS INT) - 1) % 7 + 1] + len(replace(x, 'b', '')) - len(replace(x, '#', '')) + 24) % 12) AS added FROM l WHERE label IS NOT NULL),
 s AS (SELECT label, {_PITCH.format(l='label', a='acc')} AS root, array_to_string(list_transform(range(12), lambda k: CASE WHEN substr(b.bits, CAST(k + 1 AS INT), 1) = '1' OR list_contains(added, k) THEN '1' ELSE '0' END), '') AS bits FROM p JOIN q b ON b.name = p.name WHERE regexp_matches(label, '^[A-G]'))
@@ -222,8 +209,8 @@ def fret_shift_random(spark: SparkSession, d: str) -> DataFrame:
 _VOICE = "CASE WHEN (idx + 5 * i) % 10 = 0 THEN 'X' ELSE CAST((idx + 5 * i) % 10 - 1 AS VARCHAR) END"
 
 
-@query(f"""WITH {STEPS}, v AS (SELECT {_label('idx')} AS label, array_to_string(list_transform(range(6), lambda i: {_VOICE}), ',') AS tab, list_transform(range(6), lambda i: CAST(((idx + 5 * i) % 10 - 1 + 9) % 9 AS INT)) AS targets FROM (SELECT unnest(range(60)) AS idx))
-SELECT v.label, tab, targets, count(*) AS n FROM (SELECT {_label('idx')} AS label FROM st) s JOIN v ON v.label = s.label GROUP BY ALL""")
+@query(f"""WITH {STEPS}, v AS (SELECT {label_sql('idx')} AS label, array_to_string(list_transform(range(6), lambda i: {_VOICE}), ',') AS tab, list_transform(range(6), lambda i: CAST(((idx + 5 * i) % 10 - 1 + 9) % 9 AS INT)) AS targets FROM (SELECT unnest(range(60)) AS idx))
+SELECT v.label, tab, targets, count(*) AS n FROM (SELECT {label_sql('idx')} AS label FROM st) s JOIN v ON v.label = s.label GROUP BY ALL""")
 def voicing_targets(spark: SparkSession, d: str) -> DataFrame:
     """Lines per label with the label's voicing and fret targets; labels without a voicing are dropped."""
     voice = lambda i: F.when(F.pmod(F.col("idx") + 5 * i, F.lit(10)) == 0, "X").otherwise((F.pmod(F.col("idx") + 5 * i, F.lit(10)) - 1).cast("string"))
@@ -270,7 +257,7 @@ def working_set_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_MD5.format('vec_id', 5)}, vec_id) AS k FROM embeddings), x AS (SELECT *, label * 17 % 157 AS idx FROM r WHERE label IS NOT NULL)
-SELECT row_number() OVER (ORDER BY k, label) - 1 AS position, vec_id, {_chroma('idx')} AS target FROM x""")
+SELECT row_number() OVER (ORDER BY k, label) - 1 AS position, vec_id, {chroma_sql('idx')} AS target FROM x""")
 def chroma_stream(spark: SparkSession, d: str) -> DataFrame:
     """The uniform class stream with the class's chroma as target."""
     s = R.uniform_classes(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 5)

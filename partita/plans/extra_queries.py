@@ -17,7 +17,7 @@ from partita.operators.vectors import nearest_rows
 from partita.plans import score_queries as SC
 from partita.plans.join_queries import STEP, WIDTH
 from partita.plans.model_queries import _vote_sql
-from partita.plans.score_queries import VOC
+from partita.plans.sqltext import VOC
 from partita.plans.standins import FRAMES, IV, events, frames, intervals
 from partita.session import cut_lineage, ensure_checkpoint_dir, table
 

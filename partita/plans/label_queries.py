@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partita import vocab as V
 from partita.functions import paths as P
 from partita.functions import tabs as T
-from partita.plans.score_queries import VOC
+from partita.plans.sqltext import ROOT_NAMES, VOC
 from partita.plans.standins import STEPS, chord_steps
 from partita.session import table
 
@@ -51,7 +51,7 @@ def mod_arith(spark: SparkSession, d: str) -> DataFrame:
     return p.select("a", "b", "n", V.subtract_mod(F.col("a"), F.col("b")).alias("sub"), V.add_mod(F.col("a"), F.col("b")).alias("added"))
 
 
-@query(f"""WITH {STEPS}, {VOC}, r AS (SELECT unnest(range(12)) AS k, unnest({V.ROOTS!r}) AS name),
+@query(f"""WITH {STEPS}, {VOC}, r AS (SELECT unnest(range(12)) AS k, unnest({ROOT_NAMES}) AS name),
 p AS (SELECT DISTINCT idx AS a, (idx * 5 + 3) % 157 AS b FROM st)
 SELECT x.label AS ref, y.label AS est, CASE WHEN x.idx = 156 THEN 'N' ELSE 'C:' || x.quality END AS ref_c,
 CASE WHEN y.idx = 156 THEN 'N' ELSE r.name || ':' || y.quality END AS est_c FROM p JOIN voc x ON x.idx = a JOIN voc y ON y.idx = b JOIN r ON r.k = ((y.root - x.root) % 12 + 12) % 12""")
@@ -113,7 +113,7 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", P.file_dir(c).alias("dir"), P.file_base(c).alias("base"), P.file_ext(c).alias("ext"), P.map_path(c, "/out", "json").alias("mapped"))
 
 
-@query(f"WITH {STEPS}, {VOC} SELECT DISTINCT idx, CASE WHEN idx = 156 THEN 13 ELSE CAST(idx % 12 AS INT) END AS root, CAST(idx // 12 AS INT) AS quality, CASE WHEN idx = 156 THEN 'N' ELSE {V.ROOTS!r}[(idx % 12 + 7) % 12 + 1] || ':' || quality END AS up_a_fifth FROM st JOIN voc USING (idx)")
+@query(f"WITH {STEPS}, {VOC} SELECT DISTINCT idx, CASE WHEN idx = 156 THEN 13 ELSE CAST(idx % 12 AS INT) END AS root, CAST(idx // 12 AS INT) AS quality, CASE WHEN idx = 156 THEN 'N' ELSE {ROOT_NAMES}[(idx % 12 + 7) % 12 + 1] || ':' || quality END AS up_a_fifth FROM st JOIN voc USING (idx)")
 def joint_index(spark: SparkSession, d: str) -> DataFrame:
     """Root and quality targets of every class met, and its label a fifth higher."""
     c = F.col("idx")

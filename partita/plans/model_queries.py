@@ -30,6 +30,9 @@ def query(sql: str | None = None):
 
 
 KERNEL = K.lowpass_kernel(3, 5)
+#: The same kernel for the oracle, from its definition: three rising steps of a Hamming window of seven, a bell of deviation 5 / 4.
+_WEIGHTS = [[(0.54 - 0.46 * math.cos(2 * math.pi * i / 6)) * math.exp(-0.5 * ((j - 2) / 1.25) ** 2) for j in range(5)] for i in range(3)]
+ORACLE_KERNEL = np.array(_WEIGHTS) / sum(map(sum, _WEIGHTS))
 
 
 def _conv_sql(name: str, source: str, value: str, kernel: np.ndarray) -> str:
@@ -43,8 +46,8 @@ JOIN {source} s ON s.track = o.track AND s.frame = {fix('o.frame + di', 'l.n')}
 
 
 _LONG = f"{FRAMES}, lg AS (SELECT track, frame, unnest(range(64)) AS bin, unnest(x) AS v FROM fr), len AS (SELECT track, max(frame) + 1 AS n FROM fr GROUP BY track)"
-_HIGH = f"{_LONG}, {_conv_sql('lo', 'lg', 'v', KERNEL)}, hp AS (SELECT track, frame, bin, lg.v - lo.c AS v, (lg.v - lo.c) * (lg.v - lo.c) AS v2 FROM lg JOIN lo USING (track, frame, bin))"
-_DEV = f"{_HIGH}, {_conv_sql('sq', 'hp', 'v2', KERNEL)}, dv AS (SELECT track, frame, bin, hp.v, sqrt(sq.c) AS s FROM hp JOIN sq USING (track, frame, bin))"
+_HIGH = f"{_LONG}, {_conv_sql('lo', 'lg', 'v', ORACLE_KERNEL)}, hp AS (SELECT track, frame, bin, lg.v - lo.c AS v, (lg.v - lo.c) * (lg.v - lo.c) AS v2 FROM lg JOIN lo USING (track, frame, bin))"
+_DEV = f"{_HIGH}, {_conv_sql('sq', 'hp', 'v2', ORACLE_KERNEL)}, dv AS (SELECT track, frame, bin, hp.v, sqrt(sq.c) AS s FROM hp JOIN sq USING (track, frame, bin))"
 _OUT = "track, frame, CAST(bin AS INT) AS bin, round({v}, 6) + 0.0 AS value"
 
 
@@ -71,12 +74,12 @@ def lcn_rowwise(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d, lambda x: K.lcn_rowwise(x, KERNEL))
 
 
-@query(f"WITH {_HIGH.replace('(lg.v - lo.c) AS v2', 'greatest(lg.v - lo.c, 0) * 1 AS v2').replace('(lg.v - lo.c) * greatest', 'greatest(lg.v - lo.c, 0) * greatest').replace('lg.v - lo.c AS v,', 'greatest(lg.v - lo.c, 0) AS v,')}, {_conv_sql('sq', 'hp', 'v2', KERNEL)}, dv AS (SELECT track, frame, bin, hp.v, sqrt(sq.c) AS s FROM hp JOIN sq USING (track, frame, bin)), m AS (SELECT track, avg(s) AS m FROM dv GROUP BY track) SELECT {_OUT.format(v='v / sqrt(greatest(s, m))')} FROM dv JOIN m USING (track)")
+@query(f"WITH {_HIGH.replace('(lg.v - lo.c) AS v2', 'greatest(lg.v - lo.c, 0) * 1 AS v2').replace('(lg.v - lo.c) * greatest', 'greatest(lg.v - lo.c, 0) * greatest').replace('lg.v - lo.c AS v,', 'greatest(lg.v - lo.c, 0) AS v,')}, {_conv_sql('sq', 'hp', 'v2', ORACLE_KERNEL)}, dv AS (SELECT track, frame, bin, hp.v, sqrt(sq.c) AS s FROM hp JOIN sq USING (track, frame, bin)), m AS (SELECT track, avg(s) AS m FROM dv GROUP BY track) SELECT {_OUT.format(v='v / sqrt(greatest(s, m))')} FROM dv JOIN m USING (track)")
 def lcn_mauch(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d, lambda x: K.lcn_mauch(x, KERNEL, 0.5))
 
 
-@query(f"WITH {_LONG}, v2 AS (SELECT *, v * v AS v2 FROM lg), {_conv_sql('sq', 'v2', 'v2', KERNEL)} SELECT {_OUT.format(v='lg.v / sqrt(sq.c)')} FROM lg JOIN sq USING (track, frame, bin)")
+@query(f"WITH {_LONG}, v2 AS (SELECT *, v * v AS v2 FROM lg), {_conv_sql('sq', 'v2', 'v2', ORACLE_KERNEL)} SELECT {_OUT.format(v='lg.v / sqrt(sq.c)')} FROM lg JOIN sq USING (track, frame, bin)")
 def local_l2(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d, lambda x: K.local_l2(x, KERNEL))
 

@@ -9,6 +9,7 @@ from partita import vocab as V
 from partita.operators import evaluate as E
 from partita.operators.intervals import align_filled
 from partita.plans.join_queries import FILLED, WIDTH
+from partita.plans.sqltext import VOC
 from partita.plans.standins import ref_est
 
 QUERIES, SQL = {}, {}
@@ -40,7 +41,6 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CASE = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {12 * v} + user_id % 12" for k, v in RANK.items()) + " ELSE 156 END"
-VOC = "voc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{lab}', {r}, {q}, '{qn}', '{b}', '{c}')" for i, lab, r, q, qn, b, c in V.vocabulary_rows()) + ") t(idx, label, root, quality_idx, quality, bits, chroma))"
 
 
 def metric_sql(r: str, e: str) -> str:
