@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.functions.chords import canonical_chord, chord_quality, with_canonical_chord
-from partita.llm.groups import assign_splits, connected_groups, latest_rows, related_links
+from partita.llm.groups import ARTICLES, PLACEHOLDERS, assign_splits, connected_groups, latest_rows, related_links
 from partita.llm.leaks import leaked_passages
 from partita.llm.mixing import mix, shortfalls
 from partita.llm.overlap import cross_split_cases
@@ -144,6 +144,22 @@ size AS (SELECT floor((SELECT count(*) FROM named) / 4) AS n),
 r AS (SELECT t.quality, coalesce(q.m, 0) AS available, CAST(greatest(ceil(t.target_share * size.n), t.min_frames) AS BIGINT) AS wanted
       FROM quality_targets t CROSS JOIN size LEFT JOIN q ON q.quality = t.quality)
 """
+_P2 = f"""
+WITH RECURSIVE ent AS (SELECT key, arg_max(struct_pack(l := chord_labels), ingested_at) AS v FROM chord_entities WHERE key IS NOT NULL GROUP BY key),
+lab AS (SELECT key, i, {chord_sql('lab')} AS c FROM (SELECT key, unnest(v.l) AS lab, generate_subscripts(v.l, 1) AS i FROM ent)),
+named AS (SELECT * FROM lab WHERE c LIKE '%:%' AND c NOT LIKE '?%'),
+kept AS (SELECT * FROM (SELECT *, lag(c) OVER (PARTITION BY key ORDER BY i) AS p FROM named) WHERE p IS DISTINCT FROM c),
+rooted AS (SELECT *, CAST(split_part(c, ':', 1) AS INT) AS r, first_value(CAST(split_part(c, ':', 1) AS INT)) OVER (PARTITION BY key ORDER BY i) AS r0 FROM kept),
+comp AS (SELECT key, 'c ' || string_agg(CAST((r - r0 + 12) % 12 AS VARCHAR) || ':' || split_part(c, ':', 2), ' ' ORDER BY i) AS att FROM rooted GROUP BY key HAVING count(DISTINCT c) >= 3),
+art AS (SELECT DISTINCT key, strip_accents(lower(artist)) AS a FROM tracks WHERE artist IS NOT NULL AND key IN (SELECT key FROM ent)),
+word AS (SELECT key, regexp_extract_all(a, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_extract_all(regexp_extract(a, '^(.*),', 1), '[\\p{{L}}\\p{{N}}]+') AS h, regexp_extract_all(CASE WHEN contains(a, ',') THEN regexp_extract(a, ',([^,]*)$', 1) ELSE '' END, '[\\p{{L}}\\p{{N}}]+') AS t FROM art),
+name AS (SELECT key, 'a ' || array_to_string(list_sort(CASE WHEN len(t) > 0 AND list_contains({list(ARTICLES)!r}, t[1]) THEN list_concat(h, t[2:]) WHEN len(w) > 1 AND list_contains({list(ARTICLES)!r}, w[1]) THEN w[2:] ELSE w END), ' ') AS att FROM word WHERE NOT list_contains({list(PLACEHOLDERS)!r}, array_to_string(w, ' '))),
+attr AS (SELECT key, 't ' || regexp_replace(key, '_[^_]*$', '') AS att FROM ent UNION SELECT * FROM comp UNION SELECT * FROM name),
+star AS (SELECT a.key AS b, m.key AS a FROM attr a JOIN (SELECT att, min(key) AS key FROM attr GROUP BY att) m USING (att) WHERE a.key <> m.key),
+link AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach AS (SELECT a AS node, a AS root FROM link UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node WHERE reach.root < link.b)
+SELECT node AS key, min(root) AS group_key FROM reach GROUP BY node
+"""
 _P6 = f"""
 WITH latest AS (SELECT key, frame, arg_max(struct_pack(c := {CHORD_SQL}, t := time_point), ingested_at) AS v FROM chord_frames GROUP BY key, frame),
 k AS (SELECT key, frame, v.c AS c, v.t AS t FROM latest WHERE v.c IS NOT NULL),
@@ -152,6 +168,7 @@ r AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY frame ROWS UNBOUNDED PREC
 ev AS (SELECT key, c AS chord, min(frame) AS first_frame, CAST(count(*) AS INT) AS n_frames, round(max(t) - min(t), 6) AS duration FROM r GROUP BY key, c, i)
 """
 SQL = {
+    "p2_found": _P2,
     "p4_found": _P4 + "SELECT quality FROM r WHERE available < wanted",
     "p6_events": _P6 + "SELECT * FROM ev",
     "p6_found": _P6 + "SELECT key, first_frame, n_frames FROM ev WHERE n_frames >= 2",
