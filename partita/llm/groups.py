@@ -152,7 +152,7 @@ def assign_splits(groups: DataFrame, names: list[str], shares: list[float], seed
         plan.append((size, lo, lo + m, names[k]))
         at[size] = lo + m
     deal = groups.sparkSession.createDataFrame(plan or [(0, 0, 0, "")], "size bigint, lo bigint, hi bigint, split string")
-    ranked = global_rank(sizes.withColumn("__h", hash_order(F.col("root"), seed=seed)), ["size"], "__h", ["root"], "__rank")
+    ranked = global_rank(sizes.withColumn("__h", hash_order(F.col("root"), seed=seed)), ["size"], "__h", ["root"], "__rank", rows=sum(c for _, c in table))
     dealt = ranked.join(broadcast_small(deal, len(plan)), "size").where((F.col("__rank") > F.col("lo")) & (F.col("__rank") <= F.col("hi"))).select("root", "split")
     return groups.join(dealt, "root").select("node", "root", "split")
 

@@ -72,7 +72,8 @@ def stratified_sample(rows: DataFrame, category: str, ids: list[str], targets: D
     rows = cut_lineage(rows)
     report = target_report(rows, category, targets, fraction, **names)
     name = names.get("name", "quality")
-    quota = broadcast_small(report.select(F.col(name).alias("__q"), F.col("quota").alias("__quota")), report.count())
+    wanted = report.select(name, "available").collect()
+    quota = broadcast_small(report.select(F.col(name).alias("__q"), F.col("quota").alias("__quota")), len(wanted))
     keyed = rows.join(quota, F.col(category) == F.col("__q")).withColumn("__h", hash_order(*[F.col(c) for c in ids], seed=seed))
-    ranked = global_rank(keyed, [category], "__h", ids, "__rank")
+    ranked = global_rank(keyed, [category], "__h", ids, "__rank", rows=sum(r.available for r in wanted))
     return ranked.where(F.col("__rank") <= F.col("__quota")).drop("__q", "__quota", "__h", "__rank"), report
