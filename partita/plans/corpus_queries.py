@@ -15,7 +15,7 @@ from partita.operators import sequences as S
 from partita.operators.vectors import near_mean
 from partita.plans import score_queries as SC
 from partita.plans.extra_queries import _ANN, _annotation, _holding, _points
-from partita.plans.model_queries import KERNEL
+from partita.plans.model_queries import KERNEL, ORACLE_KERNEL, _conv_sql
 from partita.plans.sqltext import QUALITY_BITS, QUALITY_NAMES, chroma_sql, label_sql
 from partita.plans.standins import EV, FRAMES, IV, RUNS, STEPS, chord_steps, events, frames, intervals
 from partita.session import table
@@ -359,7 +359,11 @@ def augment_noise(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.transform(noisy, lambda v: F.round(v, 6) + 0.0).alias("x"))
 
 
-@query()
+_HALVES = f"{FRAMES}, lg AS (SELECT track * 2 + c AS track, frame, unnest(range(32)) AS bin, unnest(x[c * 32 + 1 : c * 32 + 32]) AS v FROM fr CROSS JOIN (SELECT unnest([0, 1]) AS c)), len AS (SELECT track, max(frame) + 1 AS n FROM lg GROUP BY track)"
+
+
+@query(f"""WITH {_HALVES}, {_conv_sql('lo', 'lg', 'v', ORACLE_KERNEL, 32)}, hp AS (SELECT track, frame, bin, lg.v - lo.c AS v, (lg.v - lo.c) * (lg.v - lo.c) AS v2 FROM lg JOIN lo USING (track, frame, bin)), {_conv_sql('sq', 'hp', 'v2', ORACLE_KERNEL, 32)},
+dv AS (SELECT track, frame, bin, hp.v, sqrt(sq.c) AS s FROM hp JOIN sq USING (track, frame, bin)), m AS (SELECT track, avg(s) AS m FROM dv GROUP BY track) SELECT track // 2 AS track, frame, CAST(track % 2 AS INT) AS channel, CAST(bin AS INT) AS bin, round(v / greatest(s, m), 6) + 0.0 AS value FROM dv JOIN m USING (track)""")
 def lcn_channels(spark: SparkSession, d: str) -> DataFrame:
     """Contrast normalisation of each of two channels of 32 bins on its own."""
     f = frames(spark, d).select("track", "frame", F.array(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("x"))

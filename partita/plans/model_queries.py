@@ -35,14 +35,15 @@ _WEIGHTS = [[(0.54 - 0.46 * math.cos(2 * math.pi * i / 6)) * math.exp(-0.5 * ((j
 ORACLE_KERNEL = np.array(_WEIGHTS) / sum(map(sum, _WEIGHTS))
 
 
-def _conv_sql(name: str, source: str, value: str, kernel: np.ndarray) -> str:
+def _conv_sql(name: str, source: str, value: str, kernel: np.ndarray, bins: int = 64) -> str:
     """A table name(track, frame, bin, c): convolution of source(track, frame, bin, <value>) with mirrored edges, by join on offsets."""
     a, b = kernel.shape
     taps = ", ".join(f"({i - (a - 1 - (a - 1) // 2)}, {j - (b - 1 - (b - 1) // 2)}, {kernel[a - 1 - i, b - 1 - j]!r})" for i in range(a) for j in range(b)).replace("np.float64(", "").replace("))", ")")
     fix = lambda e, n: f"CASE WHEN {e} < 0 THEN -1 - ({e}) WHEN {e} >= {n} THEN 2 * {n} - 1 - ({e}) ELSE {e} END"
+    # where each tap reads is worked out first, so that the join is on columns alone
     return f"""{name}_k AS (SELECT * FROM (VALUES {taps}) t(di, dj, w)),
-{name} AS (SELECT o.track, o.frame, o.bin, sum({name}_k.w * s.{value}) AS c FROM {source} o CROSS JOIN {name}_k JOIN len l ON l.track = o.track
-JOIN {source} s ON s.track = o.track AND s.frame = {fix('o.frame + di', 'l.n')} AND s.bin = {fix('o.bin + dj', '64')} GROUP BY ALL)"""
+{name}_at AS MATERIALIZED (SELECT o.track, o.frame, o.bin, w, {fix('o.frame + di', 'l.n')} AS f, {fix('o.bin + dj', str(bins))} AS b FROM {source} o CROSS JOIN {name}_k JOIN len l ON l.track = o.track),
+{name} AS MATERIALIZED (SELECT o.track, o.frame, o.bin, sum(o.w * s.{value}) AS c FROM {name}_at o JOIN {source} s ON s.track = o.track AND s.frame = o.f AND s.bin = o.b GROUP BY ALL)"""
 
 
 _LONG = f"{FRAMES}, lg AS (SELECT track, frame, unnest(range(64)) AS bin, unnest(x) AS v FROM fr), len AS (SELECT track, max(frame) + 1 AS n FROM fr GROUP BY track)"
