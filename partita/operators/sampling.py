@@ -60,11 +60,11 @@ def working_set_stream(df: DataFrame, id_: str, by: str, working_set: int, visit
     A key's rows come in random order and are cut into visits; visits are dealt to the slots round by round
     (first all first visits, keys in random order), and in a round the slots give one sample each in turn. Every row comes once.
     """
-    r = ranked(df.select(by, id_).where(F.col(by).isNotNull()), [by], md5_key(F.col(id_), seed), id_, "k").withColumns({"visit": F.floor((F.col("k") - 1) / visit), "draw": F.pmod(F.col("k") - 1, F.lit(visit))})
-    visits = r.select(by, "visit").distinct().withColumn("__o", md5_key(F.col(by), F.col("visit"), seed))
-    visits = number_rows(visits, ["visit", "__o", by], "q").drop("__o").withColumns({"round": F.floor(F.col("q") / working_set), "slot": F.pmod("q", F.lit(working_set))})
-    each = r.join(visits, [by, "visit"])
-    return number_rows(each, ["round", "draw", "slot"], "position").select("position", "slot", by, id_)
+    r = ranked(df.select(by, id_).where(F.col(by).isNotNull()), [by], md5_key(F.col(id_), seed), id_, "__k2").withColumns({"__visit": F.floor((F.col("__k2") - 1) / visit), "__draw": F.pmod(F.col("__k2") - 1, F.lit(visit))})
+    visits = r.select(by, "__visit").distinct().withColumn("__o2", md5_key(F.col(by), F.col("__visit"), seed))
+    visits = number_rows(visits, ["__visit", "__o2", by], "__turn").drop("__o2").withColumns({"__round": F.floor(F.col("__turn") / working_set), "slot": F.pmod("__turn", F.lit(working_set))})
+    each = r.join(visits, [by, "__visit"])
+    return number_rows(each, ["__round", "__draw", "slot"], "position").select("position", "slot", by, id_)
 
 
 def two_set_stream(a: DataFrame, b: DataFrame, id_: str, label: str, low: int, high: int, seed: int) -> DataFrame:
@@ -81,17 +81,20 @@ def scored_triples(df: DataFrame, id_: str, label: str, seed: int) -> DataFrame:
     The samples of a class come in random order, two by two; the third is that of the next class in class order, with the
     same number as the pair (modulo that class's size). A class's last odd sample is left out.
     """
-    r = ranked(df.where(F.col(label).isNotNull()).select(id_, label), [label], md5_key(F.col(id_), seed), id_)
-    sizes = cut_lineage(number_rows(cut_lineage(r.groupBy(label).agg(F.count(F.lit(1)).alias("size"))), [label]))
+    c = F.col
+    rows = df.where(c(label).isNotNull()).select(c(id_).alias("__id"), c(label).alias("__c"))
+    r = ranked(rows, ["__c"], md5_key(c("__id"), seed), "__id", "__r")
+    sizes = cut_lineage(number_rows(cut_lineage(r.groupBy("__c").agg(F.count(F.lit(1)).alias("__size"))), ["__c"], "__no"))
     n = sizes.count()
-    after = sizes.select(F.pmod(F.col("number") - 1, F.lit(max(n, 1))).alias("number"), F.col(label).alias("far"), F.col("size").alias("far_size"))
-    classes = sizes.select(label, "number").join(after, "number").drop("number")
-    first = r.where("rank % 2 = 1").withColumn("pair", F.floor(F.col("rank") / 2)).join(broadcast_small(classes, n), label)
-    second = r.where("rank % 2 = 0").select(label, (F.col("rank") / 2 - 1).cast("bigint").alias("pair"), F.col(id_).alias("second"))
-    both = first.join(second, [label, "pair"]).withColumn("__k", F.pmod("pair", F.col("far_size")) + 1)
-    third = r.select(F.col(label).alias("far"), F.col("rank").alias("__k"), F.col(id_).alias("third"))
-    each = both.join(third, ["far", "__k"])
-    return each.select(id_, F.explode(F.array(F.struct(F.col("second").alias("other"), F.lit(1).alias("target")), F.struct(F.col("third").alias("other"), F.lit(0).alias("target")))).alias("p")).select(id_, "p.*")
+    after = sizes.select(F.pmod(c("__no") - 1, F.lit(max(n, 1))).alias("__no"), c("__c").alias("__far"), c("__size").alias("__far_size"))
+    classes = sizes.select("__c", "__no").join(after, "__no").drop("__no")
+    first = r.where("__r % 2 = 1").withColumn("__pair", F.floor(c("__r") / 2)).join(broadcast_small(classes, n), "__c")
+    second = r.where("__r % 2 = 0").select("__c", (c("__r") / 2 - 1).cast("bigint").alias("__pair"), c("__id").alias("__second"))
+    both = first.join(second, ["__c", "__pair"]).withColumn("__k", F.pmod("__pair", c("__far_size")) + 1)
+    third = r.select(c("__c").alias("__far"), c("__r").alias("__k"), c("__id").alias("__third"))
+    each = both.join(third, ["__far", "__k"])
+    pairs = F.array(F.struct(c("__second").alias("other"), F.lit(1).alias("target")), F.struct(c("__third").alias("other"), F.lit(0).alias("target")))
+    return each.select(c("__id").alias(id_), F.explode(pairs).alias("__p")).select(id_, "__p.*")
 
 
 def uniform_classes(df: DataFrame, id_: str, label: str, seed: int) -> DataFrame:
@@ -118,9 +121,9 @@ def contrastive_pairs(df: DataFrame, id_: str, label: str, seed: int) -> DataFra
     """(id, label, other, target): every row with the next of its class (target 1) and with one of another class (target 0).
 
     The other class is drawn by hash; its row has the same rank, modulo the class's size. Both are equi-joins on
-    (class, rank), so no pairs of a class are formed. The last of a class meets its first; a lone row meets itself.
+    (class, rank), so no pairs of a class are formed. The last of a class meets its first; a lone row meets itself. Rows without a class are left out.
     """
-    r = ranked(df.select(id_, label), [label], md5_key(F.col(id_), seed), id_)
+    r = ranked(df.where(F.col(label).isNotNull()).select(id_, label), [label], md5_key(F.col(id_), seed), id_)
     sizes = cut_lineage(r.groupBy(label).agg(F.count(F.lit(1)).alias("size")))
     n = sizes.count()
     # classes are numbered in their order, and looked up by label and by number
