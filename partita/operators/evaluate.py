@@ -90,8 +90,9 @@ def pooled(aligned: DataFrame, key: str, weight: str) -> DataFrame:
 
 def pooled_scores(aligned: DataFrame, key: str, weight: str, metrics: list[str] | None = None) -> DataFrame:
     """with_scores() of pooled(): metrics are worked out once per pair of classes and joined to the sums."""
-    sums = pooled(aligned, key, weight)
-    pairs = cut_lineage(sums.select("ref", "est").distinct())
+    # the sums are used twice: for the pairs that occur, and for the result
+    sums = cut_lineage(pooled(aligned, key, weight))
+    pairs = sums.select("ref", "est").distinct()
     table = with_scores(pairs, metrics).select(F.col("ref").alias("__r"), F.col("est").alias("__e"), "metric", "score")
     small = broadcast_small(table, pairs.count() * len(metrics or COMPARISONS))
     return sums.join(small, F.col("ref").eqNullSafe(F.col("__r")) & F.col("est").eqNullSafe(F.col("__e"))).drop("__r", "__e")
