@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,81 +14,71 @@ from partita.session import cut_lineage
 
 #: Fixed parameters of what counts as the same recording.
 MAX_OFFSET, MIN_FRAMES, MIN_SHARE, MIN_COSINE = 3, 8, 0.6, 0.96
-#: Views of a record, and the bins of a view among which a frame's strongest is its symbol.
-VIEWS, VIEW_BINS = 8, 8
-#: A chunk runs from a cut to the first cut at least so many frames on, at most so many; CUTS of 16 symbol pairs cut.
-MIN_CHUNK, MAX_CHUNK, CUTS = 5, 12, 12
-#: The share of the shorter record's frames that shared chunks cover in a candidate pair.
-MIN_OVERLAP = 0.25
-#: Of 64 sign bits of the first frames of two chunks with one digest so many may differ, else it is chance.
+#: Frames of a chunk. Their strongest bins, a number to the base of 12, are its digest.
+MIN_CHUNK = MAX_CHUNK = 5
+#: A frame whose two strongest bins differ by less of its length is in doubt; of the frames in doubt so many of a chunk count with either bin.
+NEAR, IN_DOUBT = 0.1, 2
+#: A record of more frames leaves out the less clear one of two successive chunks; in shorter ones, silent frames may leave few in common.
+LONG = 16
+#: Bins count up to so many times their frame's mean for the sign bits, or the strongest would decide them all.
+CLIP = 1.2
+#: Of 64 sign bits of two chunks with one digest so many may differ, else it is chance.
 MAX_SIGN_DIFFERENCE = 14
-#: A digest that more chunks have is joined together with a band of the sign bits (any of BANDS bands of BAND_BITS).
-FREQUENT, BANDS, BAND_BITS = 2_000, 5, 12
+#: Bits of a record's number in a chunk's row, beside 18 of the digest and two for the sides.
+NUMBER_BITS = 44
+#: Without effect: no rule depends on how many chunks have a digest. The name stays for callers that set it.
+FREQUENT = 2_000
 #: Values of the records whose chunks are cut together.
 FRAMES_AT_ONCE = 16_384
 
 _PREPARED = "key string, newest timestamp, live int, content binary, frames binary"
-_CHUNKS = "digest bigint, id bigint, place bigint, signs bigint"
-_random = np.random.default_rng(5)
-_BINS = np.array([np.sort(_random.permutation(12)[:VIEW_BINS]) for _ in range(VIEWS)])
-_PLANES = _random.standard_normal((12 * MIN_CHUNK, 64)).astype(np.float32)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    """Spread 64-bit numbers over all their bits."""
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(32))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
+_PLANES = np.random.default_rng(5).standard_normal((12 * MIN_CHUNK, 64)).astype(np.float32)
 
 
 def cut_chunks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     """(record, digest, first frame, frames, sign bits) of all content-defined chunks of several records.
 
     ``x`` has the non-zero frames of the records one after the other, ``lengths`` how many each has, so
-    silent frames are in no chunk and positions count non-zero frames. In each view a frame is normalised
-    to a symbol, the strongest of the view's bins: gain does not matter, and where noise swaps two
-    strong bins, views without one of them keep their symbol. A rolling hash of two successive symbols
-    decides, by content alone, where a record is cut; its first frame is a cut too. From every cut a
-    chunk runs to the first cut at least MIN_CHUNK frames on (or the record's end, or MAX_CHUNK), and
-    its digest is the polynomial hash of its symbols, from prefix sums. The sign bits are those of 64
-    random projections of its first frames.
+    silent frames are in no chunk and positions count non-zero frames. A frame's symbol is its strongest
+    bin, so gain does not matter. Every run of MIN_CHUNK frames is a chunk; in a record of more than LONG
+    frames only the clearer one of any two successive runs is, by content alone: that whose least clear
+    frame but IN_DOUBT has the larger gap between its two strongest bins. Where noise may swap these,
+    the chunk has a digest with either. The sign bits are those of 64 random projections of its frames.
     """
-    ends = np.cumsum(lengths)
     n = len(x)
-    out: list[tuple[np.ndarray, ...]] = []
     if n < MIN_CHUNK:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64))
     record = np.repeat(np.arange(len(lengths)), lengths)
-    begins = ends - lengths
+    begins = np.cumsum(lengths) - lengths
     v = np.abs(x)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
-    centred = v - v.mean(axis=1, keepdims=True)
-    windows = np.lib.stride_tricks.sliding_window_view(centred, MIN_CHUNK, axis=0).transpose(0, 2, 1).reshape(n - MIN_CHUNK + 1, -1)
-    signs = np.packbits(windows @ _PLANES > 0, axis=1).view(">i8")[:, 0].astype(np.int64)
-    up, down = _powers(_BASE, n), _powers(_INVERSE, n)
-    for view, bins in enumerate(_BINS):
-        symbol = _mix((bins[v[:, bins].argmax(axis=1)] + 16 * (view + 1)).astype(np.uint64))
-        rolled = _mix(symbol[:-1] * np.uint64(_BASE) + symbol[1:])
-        is_cut = np.zeros(n + 1, bool)
-        is_cut[:-2] = (rolled >> np.uint64(60)) < CUTS
-        is_cut[begins[lengths > 0]] = True
-        is_cut[ends] = True
-        cuts = np.flatnonzero(is_cut)
-        a = cuts[cuts < n]
-        a = a[a + MIN_CHUNK <= ends[record[a]]]
-        z = np.minimum(cuts[np.searchsorted(cuts, a + MIN_CHUNK)], a + MAX_CHUNK)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbol * up, out=prefix[1:])
-        digest = _mix((prefix[z] - prefix[a]) * down[a] + (z - a).astype(np.uint64))
-        out.append((record[a], digest.view(np.int64), (a - begins[record[a]]).astype(np.int32), (z - a).astype(np.int32), signs[a]))
+    order = np.argsort(-v, axis=1, kind="stable")[:, :2]
+    gap = -np.diff(np.take_along_axis(v, order, axis=1), axis=1)[:, 0]
+    gaps = np.lib.stride_tricks.sliding_window_view(gap, MIN_CHUNK)
+    score = np.partition(gaps, IN_DOUBT, axis=1)[:, IN_DOUBT]
+    whole = record[: n - MIN_CHUNK + 1] == record[MIN_CHUNK - 1 :]
+    pair = whole[:-1] & whole[1:]
+    first = score[:-1] >= score[1:]
+    chosen = whole & (lengths[record[: len(whole)]] <= LONG)
+    chosen[:-1] |= pair & first
+    chosen[1:] |= pair & ~first
+    at = np.flatnonzero(chosen)
+    centred = np.minimum(v, CLIP * v.mean(axis=1, keepdims=True))
+    centred -= centred.mean(axis=1, keepdims=True)
+    size = np.linalg.norm(centred, axis=1, keepdims=True)
+    centred /= np.where(size > 0, size, 1)
+    frames = at[:, None] + np.arange(MIN_CHUNK)
+    signs = np.packbits(centred[frames].reshape(len(at), -1) @ _PLANES > 0, axis=1).view(">i8")[:, 0].astype(np.int64)
+    weight = 12 ** np.arange(MIN_CHUNK)
+    plain = order[:, 0][frames] @ weight
+    doubt = np.argsort(gaps[at], axis=1, kind="stable")[:, :IN_DOUBT]
+    swap = np.take_along_axis(np.diff(order, axis=1)[:, 0][frames] * weight, doubt, axis=1)
+    near = np.take_along_axis(gaps[at], doubt, axis=1) < NEAR
+    out = []
+    for swapped in np.ndindex(*[2] * IN_DOUBT):
+        k = np.flatnonzero((near | (np.array(swapped) == 0)).all(axis=1))
+        r = record[at[k]]
+        out.append((r, plain[k] + swap[k] @ np.array(swapped), (at[k] - begins[r]).astype(np.int32), np.full(len(k), MIN_CHUNK, np.int32), signs[k]))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -127,22 +118,36 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["key", "newest", "live", "content", "frames"])
 
 
+def pack(frames: bytes) -> bytes:
+    """Floats compressed without loss, the like bytes of all together."""
+    return zlib.compress(np.frombuffer(frames, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.tobytes(), np.float32).reshape(-1, 12)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([pack(f) for f in b.column("frames").to_pylist()], pa.binary())], names=["content", "packed"])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        size = np.array([len(f) // 48 for f in b.column("frames").to_pylist()], np.int64)
-        part = np.cumsum(size) // FRAMES_AT_ONCE
-        at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(at, at[1:]):
-            few = b.slice(lo, hi - lo)
-            x = np.frombuffer(b"".join(few.column("frames").to_pylist()), np.float32).reshape(-1, 12)
-            live = x.any(axis=1)
-            lengths = few.column("live").to_numpy().astype(np.int64)
-            record, *columns = cut_chunks(x[live], lengths)
-            # four longs a chunk: the record with its sides in the last two bits, the place with its length in the last four
-            ids = few.column("id").to_numpy().astype(np.int64) * 4 + few.column("sides").to_numpy().astype(np.int64)
-            digest, at_frame, length, signs = columns
-            flat = (digest, ids[record], at_frame.astype(np.int64) * 16 + length, signs)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], names=["digest", "id", "place", "signs"])
+        numbers, sides = (b.column(c).to_numpy().astype(np.int64) for c in ("number", "sides"))
+        lo, frames, total = 0, [], 0
+        for hi, f in enumerate(b.column("packed"), 1):
+            frames.append(unpack(f.as_py()))
+            total += len(frames[-1])
+            if total < FRAMES_AT_ONCE and hi < b.num_rows:
+                continue
+            x = [f[f.any(axis=1)] for f in frames]
+            record, digest, _, _, signs = cut_chunks(np.concatenate(x), np.array([len(f) for f in x], np.int64))
+            # two longs a chunk: its digest, its record's number and sides in one, the sign bits in the other
+            record += lo
+            row = digest << (NUMBER_BITS + 2) | numbers[record] << 2 | sides[record]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (row, signs)], names=["row", "signs"])
+            lo, frames, total = hi, [], 0
 
 
 def best_match(a: np.ndarray, b: np.ndarray) -> float:
@@ -152,13 +157,19 @@ def best_match(a: np.ndarray, b: np.ndarray) -> float:
 
 def best_matches(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """best_match() of several pairs at once, padded with silent frames to one length."""
+    return _best_offsets(a, b)[0]
+
+
+def _best_offsets(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(best_match(), share of the shorter record's frames that are compared there) of several pairs."""
     length = max(map(len, (*a, *b)))
     x, y = np.zeros((2, len(a), length, 12))
     for i, (p, q) in enumerate(zip(a, b, strict=True)):
         x[i, : len(p)], y[i, : len(q)] = p, q
-    least = MIN_SHARE * np.minimum([len(p) for p in a], [len(q) for q in b])
+    shorter = np.minimum([len(p) for p in a], [len(q) for q in b])
+    least = MIN_SHARE * shorter
     sx, sy = (x * x).sum(axis=2), (y * y).sum(axis=2)
-    best = np.full(len(a), -1.0)
+    best, share = np.full(len(a), -1.0), np.zeros(len(a))
     for o in range(-MAX_OFFSET, MAX_OFFSET + 1):
         if abs(o) >= length:
             continue
@@ -166,25 +177,26 @@ def best_matches(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         both = (sx[i] > 0) & (sy[j] > 0)
         n = both.sum(axis=1)
         dot, size = np.einsum("plk,plk->p", x[i], y[j]), np.sqrt((sx[i] * both).sum(axis=1) * (sy[j] * both).sum(axis=1))
-        best = np.where((n >= MIN_FRAMES) & (n >= least), np.maximum(best, dot / np.where(size > 0, size, 1)), best)
-    return best
+        cosine = dot / np.where(size > 0, size, 1)
+        better = (n >= MIN_FRAMES) & (n >= least) & (cosine > best)
+        best, share = np.where(better, cosine, best), np.where(better, n / shorter, share)
+    return best, share
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    frames = lambda raw: np.frombuffer(raw, np.float32).reshape(-1, 12)
     for b in batches:
-        fa, fb = b.column("fa").to_pylist(), b.column("fb").to_pylist()
+        fa, fb = ([unpack(f) for f in b.column(c).to_pylist()] for c in ("fa", "fb"))
         # pairs of like length together, so that little is padded
-        size = np.array([max(len(p), len(q)) for p, q in zip(fa, fb, strict=True)], np.int64) // 48
-        cosine, order, lo = np.empty(len(fa)), np.argsort(size, kind="stable"), 0
+        size = np.array([max(len(p), len(q)) for p, q in zip(fa, fb, strict=True)], np.int64)
+        cosine, share, order, lo = np.empty(len(fa)), np.empty(len(fa)), np.argsort(size, kind="stable"), 0
         while lo < len(order):
             hi = lo + 1
             while hi < len(order) and (hi - lo + 1) * size[order[hi]] <= FRAMES_AT_ONCE:
                 hi += 1
             some = order[lo:hi]
-            cosine[some] = best_matches([frames(fa[k]) for k in some], [frames(fb[k]) for k in some])
+            cosine[some], share[some] = _best_offsets([fa[k] for k in some], [fb[k] for k in some])
             lo = hi
-        yield pa.RecordBatch.from_arrays([b.column("ra"), b.column("rb"), b.column("overlap"), pa.array(cosine, pa.float64())], names=["ra", "rb", "overlap", "cosine"])
+        yield pa.RecordBatch.from_arrays([b.column("ra"), b.column("rb"), pa.array(share, pa.float64()), pa.array(cosine, pa.float64())], names=["ra", "rb", "overlap", "cosine"])
 
 
 def file_key(key: Column) -> Column:
@@ -199,6 +211,10 @@ def split_name(split: Column) -> Column:
     return F.when(s.startswith("tr"), "train").when(s.startswith("va") | s.startswith("dev"), "valid").when(s.startswith("te"), "test")
 
 
+def _prepared_rows(entities: DataFrame, time: Column) -> DataFrame:
+    return entities.where(F.col("key").isNotNull()).select(F.col("key").cast("string").alias("key"), time.alias("newest"), "cqt").mapInArrow(_prepare, _PREPARED)
+
+
 def prepared_records(entities: DataFrame, newest: str | None = None) -> DataFrame:
     """(key, live, content, frames): the first channel of each key's latest cqt as packed floats, with a digest of its content.
 
@@ -206,60 +222,47 @@ def prepared_records(entities: DataFrame, newest: str | None = None) -> DataFram
     keys; a key whose latest row is such has no record. Packing comes before the shuffle by key.
     """
     time = F.col(newest).cast("timestamp") if newest else F.lit(None).cast("timestamp")
-    rows = entities.where(F.col("key").isNotNull()).select(F.col("key").cast("string").alias("key"), time.alias("newest"), "cqt").mapInArrow(_prepare, _PREPARED)
+    rows = _prepared_rows(entities, time)
     latest = Window.partitionBy("key").orderBy(F.col("newest").desc_nulls_last(), F.col("content").desc_nulls_last())
-    return rows.withColumn("__rn", F.row_number().over(latest)).where("__rn = 1 and frames is not null").drop("__rn", "newest")
+    return rows.withColumn("__rn", F.row_number().over(latest)).where("__rn = 1 and content is not null").drop("__rn", "newest")
 
 
-def similar_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(records: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs(ra, rb, overlap, cosine) of copies between representatives; members(key, rep).
 
-    ``records(key, live, content, frames, sides)`` has each key once; bit 1 of sides says that it is in
-    some training split, bit 2 in some held-out split. Only pairs across are compared. Records that are bit for
-    bit alike share a representative (the smallest key of their content), so a group of exact copies is
-    compared once. Chunk digests are joined; overlap is the sum of the lengths of the shared chunks,
-    frames counted once, over the shorter record's non-zero frames. Pairs with MIN_OVERLAP are verified
-    over all offsets. Digests that more than FREQUENT chunks have would pair all of them by chance; they
-    are joined with bands of the chunks' sign bits, so that only chunks that sound alike meet.
-    No join is left to a size estimate: exploded rows look small to the planner.
+    ``records(key, content, frames, sides)`` has each key once; bit 1 of sides says that it is in
+    some training split, bit 2 in some held-out split. Only pairs across are compared. ``rows(content, frames)``
+    has the frames of every content (and may have others), if records have none, so that they need not be
+    shuffled by key. Records that are bit for bit alike share a representative (the smallest key of their
+    content), so a group of exact copies is compared once. Pairs that share a digest with like sign
+    bits are verified over all offsets; overlap is the share of the shorter record's frames that are compared at the best. Whether a pair is found depends on its two records alone.
+    A record's number is a short hash of its content: where two have one, both are verified
+    (with others; that two copies have one is a chance of 1 in 2 ** 44).
+    No join is left to a size estimate: exploded rows look small to the planner. Frames are shuffled once,
+    packed, and that exchange serves the chunks and both sides of the pairs.
     """
-    prepared = cut_lineage(records.withColumn("id", F.monotonically_increasing_id()))
-    reps = cut_lineage(prepared.groupBy("content").agg(F.min_by("id", "key").alias("id"), F.min("key").alias("rep"), F.first("live").alias("live"), F.bit_or("sides").alias("sides")))
+    prepared = cut_lineage(records.select("key", "content", "sides"))
+    reps = prepared.groupBy("content").agg(F.min("key").alias("rep"), F.bit_or("sides").alias("sides"))
     members = prepared.select("key", "content").join(reps.select("content", "rep").hint("merge"), "content").select("key", "rep")
-    unique = prepared.select("id", "live", "frames").join(reps.select("id", "sides").hint("merge"), "id")
-    chunks = unique.select("id", "sides", "live", "frames").mapInArrow(_chunks, _CHUNKS)
-    frequent = cut_lineage(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT).select("digest"))
-    meeting = chunks.withColumnRenamed("digest", "meet")
-    if frequent.count():
-        bits = F.lit((1 << BAND_BITS) - 1)
-        bands = F.array(*[F.xxhash64("digest", F.lit(i), F.shiftrightunsigned("signs", i * BAND_BITS).bitwiseAND(bits)) for i in range(BANDS)])
-        rare = chunks.join(frequent.hint("merge"), "digest", "left_anti").withColumnRenamed("digest", "meet")
-        often = chunks.join(frequent.hint("merge"), "digest", "left_semi").withColumn("meet", F.explode(bands)).drop("digest")
-        meeting = rare.unionByName(often)
+    number = F.xxhash64("content").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    frames = (records if rows is None else rows).where("content is not null").select("content", "frames").mapInArrow(_pack, "content binary, packed binary")
+    frames = frames.groupBy("content").agg(F.first("packed").alias("packed"))
+    unique = frames.join(reps.select("content", "sides").hint("merge"), "content").select(number.alias("number"), "sides", "packed")
+    chunks = unique.mapInArrow(_chunks, "row bigint, signs bigint")
     # both sides of the self-join keep the same columns, so that one exchange serves both
-    a, b = meeting.alias("a").hint("merge"), meeting.alias("b")
-    sides = lambda c: F.col(c).bitwiseAND(F.lit(3))
+    a, b = chunks.alias("a").hint("merge"), chunks.alias("b")
+    digest = lambda c: F.shiftrightunsigned(c, NUMBER_BITS + 2)
+    of = lambda c: F.shiftrightunsigned(c, 2).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
     # one in training and the other held out: not both 1, not both 2
-    across = sides("a.id").bitwiseOR(sides("b.id")) == 3
-    near = (F.col("a.id") < F.col("b.id")) & across & (F.bit_count(F.col("a.signs").bitwiseXOR(F.col("b.signs"))) <= MAX_SIGN_DIFFERENCE)
-    both = a.join(b, F.col("a.meet") == F.col("b.meet")).where(near)
-    both = both.select(F.shiftright("a.id", 2).alias("ia"), F.shiftright("b.id", 2).alias("ib"), F.col("a.place").alias("place"))
-    found = both.groupBy("ia", "ib").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    # chunks overlap, so each adds what those before it do not cover
-    none = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("upto"))
-    at, to = lambda p: F.shiftright(p, 4), lambda p: F.shiftright(p, 4) + p.bitwiseAND(F.lit(15))
-    add = lambda acc, p: F.struct((acc["sum"] + F.greatest(to(p) - F.greatest(at(p), acc["upto"]), F.lit(0).cast("bigint"))).alias("sum"), F.greatest(acc["upto"], to(p)).alias("upto"))
-    covered = found.select("ia", "ib", F.aggregate("places", none, add, lambda acc: acc["sum"]).alias("covered"))
-    live = reps.select("id", "live")
-    covered = covered.join(live.select(F.col("id").alias("ia"), F.col("live").alias("la")).hint("merge"), "ia").join(live.select(F.col("id").alias("ib"), F.col("live").alias("lb")).hint("merge"), "ib")
-    candidates = covered.select("ia", "ib", F.least(F.lit(1.0), F.col("covered") / F.least("la", "lb")).alias("overlap")).where(F.col("overlap") >= MIN_OVERLAP)
-    candidates = cut_lineage(candidates)
-    frames = prepared.select("id", "key", "frames")
-    needed = candidates.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
-    frames = frames.join(needed.hint("merge"), "id")
-    pairs = candidates.join(frames.select(F.col("id").alias("ia"), F.col("key").alias("ra"), F.col("frames").alias("fa")).hint("merge"), "ia")
-    pairs = pairs.join(frames.select(F.col("id").alias("ib"), F.col("key").alias("rb"), F.col("frames").alias("fb")).hint("merge"), "ib")
-    verified = pairs.select("ra", "rb", "overlap", "fa", "fb").mapInArrow(_verify, "ra string, rb string, overlap double, cosine double").where(F.col("cosine") >= MIN_COSINE)
+    across = F.col("a.row").bitwiseOR(F.col("b.row")).bitwiseAND(F.lit(3)) == 3
+    near = (of("a.row") < of("b.row")) & across & (F.bit_count(F.col("a.signs").bitwiseXOR(F.col("b.signs"))) <= MAX_SIGN_DIFFERENCE)
+    candidates = a.join(b, digest("a.row") == digest("b.row")).where(near).select(of("a.row").alias("na"), of("b.row").alias("nb")).distinct()
+    for side in "ab":
+        numbered = reps.select(number.alias(f"n{side}"), F.col("content").alias(f"c{side}"), F.col("rep").alias(f"r{side}"))
+        candidates = candidates.join(numbered.hint("merge"), f"n{side}").drop(f"n{side}")
+    for side in "ab":
+        candidates = candidates.join(frames.select(F.col("content").alias(f"c{side}"), F.col("packed").alias(f"f{side}")).hint("merge"), f"c{side}").drop(f"c{side}")
+    verified = candidates.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), "fa", "fb").mapInArrow(_verify, "ra string, rb string, overlap double, cosine double").where(F.col("cosine") >= MIN_COSINE)
     return cut_lineage(verified), members
 
 
@@ -271,12 +274,14 @@ def cross_split_cases(entities: DataFrame, splits: DataFrame, newest: str | None
     do not count. Of several rows of a key in ``entities(key, cqt)`` that with the latest ``newest`` holds.
     """
     roles = splits.where(F.col("split").isNotNull() & F.col("fold").isNotNull()).select("fold", "subset", split_name(F.col("split")).alias("split"), file_key(F.col("key")).alias("key"))
-    roles = cut_lineage(roles.where("split is not null").distinct().join(entities.select("key").distinct().hint("merge"), "key", "left_semi"))
+    # shuffled by key alone, and read again rather than stored: the rows are many times as long as in their table
+    roles = roles.where("split is not null").join(entities.select("key").distinct().hint("merge"), "key", "left_semi").distinct()
     train = roles.where("split = 'train'").select("fold", "key").distinct()
     held = roles.where("split <> 'train'")
     same = held.join(train.hint("merge"), ["fold", "key"]).select("fold", "split", "subset", F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit("key").alias("kind"), F.lit(1.0).alias("overlap"))
     sides = roles.groupBy("key").agg(F.bit_or(F.when(F.col("split") == "train", 1).otherwise(2)).alias("sides"))
-    pairs, members = similar_pairs(prepared_records(entities, newest).join(sides.hint("merge"), "key"))
+    records = prepared_records(entities, newest).select("key", "content").join(sides.hint("merge"), "key")
+    pairs, members = similar_pairs(records, _prepared_rows(entities, F.lit(None).cast("timestamp")))
     # both directions between representatives, and each representative with itself for its exact copies
     reps = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     links = (

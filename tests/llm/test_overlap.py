@@ -130,3 +130,21 @@ def test_chunks_follow_content():
     assert all(O.MIN_CHUNK <= n <= O.MAX_CHUNK for n in part[3])
     # a third: chunks of other content are others
     assert not set(O.cut_chunks(np.abs(rng.normal(size=(60, 12))).astype(np.float32), np.array([60]))[1].tolist()) & set(whole[1].tolist())
+
+
+def test_little_is_shuffled(spark):
+    """No more than a few times the tables, and frames as packed are the frames."""
+    from pathlib import Path
+
+    d = Path("/root/testdata/sf0.01")
+    entities, splits = (spark.read.parquet(str(d / f"{t}.parquet")) for t in ("chord_entities", "split_keys"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert O.cross_split_cases(entities, splits, "ingested_at").count() > 0
+    size = sum((d / f"{t}.parquet").stat().st_size for t in ("chord_entities", "split_keys"))
+    assert written() - before < 8 * size
+
+
+def test_packed_frames():
+    x = np.random.default_rng(1).normal(size=(9, 12)).astype(np.float32)
+    assert (O.unpack(O.pack(x.tobytes())) == x).all() and O.unpack(O.pack(b"")).shape == (0, 12)
