@@ -132,6 +132,28 @@ def test_chunks_follow_content():
     assert not set(O.cut_chunks(np.abs(rng.normal(size=(60, 12))).astype(np.float32), np.array([60]))[1].tolist()) & set(whole[1].tolist())
 
 
+def test_pairs_do_not_depend_on_how_many_records_there_are(spark, monkeypatch):
+    """Three noisy versions of each record: what is found of one does not change with the chunks that others share."""
+    rng = np.random.default_rng(11)
+    x = {}
+    for i in range(30):
+        m = rng.exponential(size=(10, 12))
+        for j in range(3):
+            x[f"r{i:02d}{j}"] = np.abs(m + rng.normal(size=m.shape) * 0.2)
+    want = brute_pairs({k: m.astype(np.float32).astype(float) for k, m in x.items()})
+
+    def found(frequent, keys):
+        monkeypatch.setattr(O, "FREQUENT", frequent)
+        df = spark.createDataFrame([entity(k, x[k]) for k in keys], E_SCHEMA)
+        return {(r.ra, r.rb) for r in O.similar_pairs(records(df))[0].collect()}
+
+    whole = found(O.FREQUENT, x)
+    assert len(want) >= 80 and whole <= want and len(whole) >= 0.95 * len(want)
+    # as if each digest were one of a large table
+    assert found(1, x) == whole
+    assert found(1, [k for k in x if k < "r05"]) == {p for p in whole if p[1] < "r05"}
+
+
 def test_little_is_shuffled(spark):
     """No more than a few times the tables, and frames as packed are the frames."""
     from pathlib import Path
