@@ -18,8 +18,6 @@ MAX_OFFSET, MIN_FRAMES, MIN_SHARE, MIN_COSINE = 3, 8, 0.6, 0.96
 MIN_CHUNK = MAX_CHUNK = 5
 #: A frame whose two strongest bins differ by less of its length is in doubt; of the frames in doubt so many of a chunk count with either bin.
 NEAR, IN_DOUBT = 0.1, 2
-#: A record of more frames leaves out the less clear one of two successive chunks; in shorter ones, silent frames may leave few in common.
-LONG = 16
 #: Bins count up to so many times their frame's mean for the sign bits, or the strongest would decide them all.
 CLIP = 1.2
 #: Of 64 sign bits of two chunks with one digest so many may differ, else it is chance.
@@ -35,15 +33,32 @@ _PREPARED = "key string, newest timestamp, live int, content binary, frames bina
 _PLANES = np.random.default_rng(5).standard_normal((12 * MIN_CHUNK, 64)).astype(np.float32)
 
 
-def cut_chunks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+def _around_silence(record: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, which of them is silent) of the runs of MIN_CHUNK frames one of which is silent, between non-zero ones; its number is that after the last."""
+    n, live = len(record), MIN_CHUNK - 1
+    if n < live:
+        return np.zeros((0, MIN_CHUNK), np.int64), np.zeros(0, np.int64)
+    step = np.where(np.diff(record) == 0, np.diff(place), 0)  # 0 between records
+    steps = np.lib.stride_tricks.sliding_window_view(np.concatenate([[0], step, [0]]), live + 1)
+    frames, silent = [], []
+    for p in range(MIN_CHUNK):
+        # the step over the silent frame is two within the run, two or more at its edges
+        fits = [steps[:, k] > 1 if k == p and p in (0, live) else steps[:, k] == 1 + (k == p) for k in range(live + 1) if 0 < k < live or k == p]
+        at = np.flatnonzero(np.logical_and.reduce(fits))
+        frames.append(np.insert(at[:, None] + np.arange(live), p, n, axis=1))
+        silent.append(np.full(len(at), p))
+    return np.concatenate(frames), np.concatenate(silent)
+
+
+def cut_chunks(x: np.ndarray, lengths: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(record, digest, first frame, frames, sign bits) of all content-defined chunks of several records.
 
     ``x`` has the non-zero frames of the records one after the other, ``lengths`` how many each has, so
     silent frames are in no chunk and positions count non-zero frames. A frame's symbol is its strongest
-    bin, so gain does not matter. Every run of MIN_CHUNK frames is a chunk; in a record of more than LONG
-    frames only the clearer one of any two successive runs is, by content alone: that whose least clear
-    frame but IN_DOUBT has the larger gap between its two strongest bins. Where noise may swap these,
-    the chunk has a digest with either. The sign bits are those of 64 random projections of its frames.
+    bin, so gain does not matter. Every run of MIN_CHUNK frames is a chunk, however long its record is.
+    Where noise may swap a frame's two strongest bins, the chunk has a digest with either. The sign bits are
+    those of 64 random projections of its frames. With ``place``, the frames' numbers in their records,
+    a run with one silent frame is a chunk too, with a digest for every bin that may be there in a copy.
     """
     n = len(x)
     if n < MIN_CHUNK:
@@ -54,31 +69,35 @@ def cut_chunks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     order = np.argsort(-v, axis=1, kind="stable")[:, :2]
     gap = -np.diff(np.take_along_axis(v, order, axis=1), axis=1)[:, 0]
-    gaps = np.lib.stride_tricks.sliding_window_view(gap, MIN_CHUNK)
-    score = np.partition(gaps, IN_DOUBT, axis=1)[:, IN_DOUBT]
-    whole = record[: n - MIN_CHUNK + 1] == record[MIN_CHUNK - 1 :]
-    pair = whole[:-1] & whole[1:]
-    first = score[:-1] >= score[1:]
-    chosen = whole & (lengths[record[: len(whole)]] <= LONG)
-    chosen[:-1] |= pair & first
-    chosen[1:] |= pair & ~first
-    at = np.flatnonzero(chosen)
     centred = np.minimum(v, CLIP * v.mean(axis=1, keepdims=True))
     centred -= centred.mean(axis=1, keepdims=True)
     size = np.linalg.norm(centred, axis=1, keepdims=True)
     centred /= np.where(size > 0, size, 1)
+    at = np.flatnonzero(record[: n - MIN_CHUNK + 1] == record[MIN_CHUNK - 1 :])
     frames = at[:, None] + np.arange(MIN_CHUNK)
-    signs = np.packbits(centred[frames].reshape(len(at), -1) @ _PLANES > 0, axis=1).view(">i8")[:, 0].astype(np.int64)
+    whole = len(frames)
+    if place is not None:
+        more, silent = _around_silence(record, place)
+        frames = np.concatenate([frames, more])
+        # the silent frame: bin 0, never in doubt
+        order, gap, centred = np.vstack([order, [[0, 0]]]), np.append(gap, np.float32(2)), np.vstack([centred, np.zeros((1, 12), np.float32)])
+    first = frames.min(axis=1)
+    record, start = record[first], (first - begins[record[first]]).astype(np.int32)
+    signs = np.packbits(centred[frames].reshape(len(frames), -1) @ _PLANES > 0, axis=1).view(">i8")[:, 0].astype(np.int64)
     weight = 12 ** np.arange(MIN_CHUNK)
     plain = order[:, 0][frames] @ weight
-    doubt = np.argsort(gaps[at], axis=1, kind="stable")[:, :IN_DOUBT]
+    gaps = gap[frames]
+    doubt = np.argsort(gaps, axis=1, kind="stable")[:, :IN_DOUBT]
     swap = np.take_along_axis(np.diff(order, axis=1)[:, 0][frames] * weight, doubt, axis=1)
-    near = np.take_along_axis(gaps[at], doubt, axis=1) < NEAR
+    near = np.take_along_axis(gaps, doubt, axis=1) < NEAR
     out = []
     for swapped in np.ndindex(*[2] * IN_DOUBT):
         k = np.flatnonzero((near | (np.array(swapped) == 0)).all(axis=1))
-        r = record[at[k]]
-        out.append((r, plain[k] + swap[k] @ np.array(swapped), (at[k] - begins[r]).astype(np.int32), np.full(len(k), MIN_CHUNK, np.int32), signs[k]))
+        digest = plain[k] + swap[k] @ np.array(swapped)
+        out.append((record[k], digest, start[k], np.full(len(k), MIN_CHUNK, np.int32), signs[k]))
+        if place is not None:
+            digest, k = digest[k >= whole], k[k >= whole]
+            out += [(record[k], digest + i * weight[silent[k - whole]], start[k], np.full(len(k), MIN_CHUNK, np.int32), signs[k]) for i in range(1, 12)]
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -141,8 +160,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += len(frames[-1])
             if total < FRAMES_AT_ONCE and hi < b.num_rows:
                 continue
-            x = [f[f.any(axis=1)] for f in frames]
-            record, digest, _, _, signs = cut_chunks(np.concatenate(x), np.array([len(f) for f in x], np.int64))
+            live = [np.flatnonzero(f.any(axis=1)) for f in frames]
+            x = np.concatenate([f[k] for f, k in zip(frames, live, strict=True)])
+            record, digest, _, _, signs = cut_chunks(x, np.array([len(k) for k in live], np.int64), np.concatenate(live))
             # two longs a chunk: its digest, its record's number and sides in one, the sign bits in the other
             record += lo
             row = digest << (NUMBER_BITS + 2) | numbers[record] << 2 | sides[record]

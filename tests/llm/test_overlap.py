@@ -170,3 +170,42 @@ def test_little_is_shuffled(spark):
 def test_packed_frames():
     x = np.random.default_rng(1).normal(size=(9, 12)).astype(np.float32)
     assert (O.unpack(O.pack(x.tobytes())) == x).all() and O.unpack(O.pack(b"")).shape == (0, 12)
+
+
+def test_every_run_is_a_chunk_however_long_the_record():
+    """The chunks of the first frames of a record are chunks of the whole record, at any length of either."""
+    x = np.random.default_rng(7).exponential(size=(120, 12)).astype(np.float32)
+    chunks = lambda n: set(zip(*(c.tolist() for c in O.cut_chunks(x[:n], np.array([n]))[1:3])))
+    whole = chunks(120)
+    for n in (5, 12, 16, 17, 24, 60):
+        part = chunks(n)
+        assert part <= whole and {a for _, a in part} == set(range(n - 4))
+
+
+def test_copies_with_scattered_silence_at_any_length(spark):
+    """Copies with every sixth, or every fifth, frame silent are found, in short records and in long ones."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for i in range(60):
+        x = rng.exponential(size=(14 + i % 3 * 8, 12))
+        y = x * 0.7
+        y[5 - i % 2 :: 6 - i % 2] = 0
+        rows += [entity(f"r{i:02d}", x), entity(f"s{i:02d}", y)]
+        want.add((f"r{i:02d}", f"s{i:02d}"))
+        assert O.best_match(x, y) >= O.MIN_COSINE
+    pairs = O.similar_pairs(records(spark.createDataFrame(rows, E_SCHEMA)))[0]
+    assert {(r.ra, r.rb) for r in pairs.collect()} == want
+
+
+def test_runs_around_silence():
+    live = [np.array(k) for k in ([0, 1, 2, 4, 5, 6, 7, 10], [3, 5, 6, 7, 8], [0, 2], [2, 3, 4, 5, 9])]
+    begins, want = np.cumsum([0, *map(len, live)]), set()
+    for b, k in zip(begins, live):
+        number = {p: b + i for i, p in enumerate(k.tolist())}
+        for p in range(k[0] - 1, k[-1] + 1):
+            run = [number.get(q, begins[-1]) for q in range(p, p + 5)]
+            silent = [j for j, r in enumerate(run) if r == begins[-1]]
+            if len(silent) == 1 and k[0] < p + silent[0] < k[-1]:
+                want.add((*run, silent[0]))
+    frames, silent = O._around_silence(np.repeat(np.arange(4), [len(k) for k in live]), np.concatenate(live))
+    assert {(*f, s) for f, s in zip(frames.tolist(), silent.tolist())} == want and len(frames) == len(want) >= 5
